@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boardsift.llm import byte_bpe
+from boardsift.llm import byte_bpe, packing
 from boardsift.llm.common import read_table
 from boardsift.llm.exact_dedup import exact_duplicates
 
@@ -14,11 +14,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_packing": op5_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
