@@ -210,7 +210,7 @@ class WarcWriter(DataSourceArrowWriter):
         files.create_dir(f"{path}/_writing", recursive=True)
         name = f"part-{uuid.uuid4().hex}{self.suffix}"
         empty = True
-        with files.open_output_stream(f"{path}/_writing/{name}") as out:
+        with files.open_output_stream(f"{path}/_writing/{name}", compression=None) as out:
             for batch in iterator:
                 for row in batch.select(["page_id", "url", "html", "revisit", "refers_to"]).to_pylist():
                     data = record(row["page_id"], row["url"], (row["html"] or "").encode(), bool(row["revisit"]), row["refers_to"])
