@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boardsift.llm import byte_bpe, chat, licenses, packing, warc
+from boardsift.llm import byte_bpe, chat, hamming, licenses, packing, warc
 from boardsift.llm.common import read_table
 from boardsift.llm.exact_dedup import exact_duplicates
 
@@ -14,6 +14,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming.sign_codes(read_table(spark, sf_dir, "embeddings"))
+    return hamming.top_k(codes, codes.where("vec_id % 50 = 0"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -37,6 +42,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_hamming_top_k": op3_hamming_top_k,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op7_chat_format": op7_chat_format,
@@ -71,6 +77,10 @@ def _license_oracle() -> str:
 
 
 ORACLES = {
+    "op3_hamming_top_k": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings),
+        p AS (SELECT q.vec_id, r.vec_id AS neighbor_id, len(list_filter(list_zip(q.b, r.b), lambda z: z[1] <> z[2])) AS distance FROM e q JOIN e r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+        SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank, neighbor_id, distance FROM p QUALIFY rank <= 10""",
     "op4_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
         d AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top,
