@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boardsift.llm import byte_bpe, chat, hamming, licenses, packing, warc
+from boardsift.llm import byte_bpe, chat, hamming, licenses, packing, quality, warc
 from boardsift.llm.common import read_table
 from boardsift.llm.exact_dedup import exact_duplicates
 
@@ -14,6 +14,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = hamming.sign_codes(read_table(spark, sf_dir, "embeddings"))
     return hamming.top_k(codes, codes.where("vec_id % 50 = 0"))
@@ -42,6 +46,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_hamming_top_k": op3_hamming_top_k,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
