@@ -39,6 +39,8 @@ GROUPS = 48
 #: Slots of a plan that are sent to the executors at most (the plan's size depends on the capacity, not on the corpus).
 MAX_SLOTS = 2_000_000
 
+_SPACE = regex.compile(r"\s")
+
 
 class WordTokenizer:
     """Ids of the library's tokenizer, every distinct white-space chunk tokenized once."""
@@ -67,7 +69,7 @@ class WordTokenizer:
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks are normalised together; a word with or without punctuation after it is cut here, any other chunk
         by the library's own splitter, and the library's model merges the pieces."""
-        odd = [i for i, x in enumerate(chunks) if regex.search(r"\s", x)]
+        odd = [i for i, x in enumerate(chunks) if _SPACE.search(x)] if _SPACE.search("".join(chunks)) else []
         alone = dict.fromkeys(odd)
         rest = [x for i, x in enumerate(chunks) if i not in alone] if odd else chunks
         plain = self.whole.normalizer.normalize_str("\n".join(rest)).split(" ") if rest else []
