@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boardsift.llm import byte_bpe, chat, hamming, licenses, packing, quality, warc
+from boardsift.llm import byte_bpe, chat, hamming, licenses, packing, quality, toxicity, warc
 from boardsift.llm.common import read_table
 from boardsift.llm.exact_dedup import exact_duplicates
 
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -50,6 +54,7 @@ QUERIES = {
     "op3_hamming_top_k": op3_hamming_top_k,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_chat_format": op7_chat_format,
     "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
