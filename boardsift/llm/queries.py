@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boardsift.llm import byte_bpe, chat, hamming, licenses, packing, quality, toxicity, warc
+from boardsift.llm import byte_bpe, chat, hamming, licenses, minhash, packing, quality, toxicity, warc
 from boardsift.llm.common import read_table
 from boardsift.llm.exact_dedup import exact_duplicates
 
@@ -14,6 +14,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -50,6 +55,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_quality": op2_quality,
     "op3_hamming_top_k": op3_hamming_top_k,
     "op4_warc": op4_warc,
