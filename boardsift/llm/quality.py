@@ -30,6 +30,8 @@ DIMENSIONS = 32
 #: Words on each side that count as context.
 REACH = 2
 HIDDEN = 32
+#: Words whose vectors are gathered at once.
+POOLED = 100_000
 #: A document is good from this score on.
 THRESHOLD = 0.3
 _BLOCKS = 33
@@ -43,22 +45,23 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return plus, (plus + random.integers(1, DIMENSIONS, WORDS + FORMS)) % DIMENSIONS
 
 
-_UPPER, _LOWER, _DIGIT, _RUN = regex.compile(r"\p{Lu}+"), regex.compile(r"[^\P{L}\p{Lu}]+"), regex.compile(r"\p{N}+"), regex.compile(r"(.)\1+")
+_UPPER, _LOWER, _DIGIT, _RUN = regex.compile(r"\p{Lu}+"), regex.compile(r"[^\P{L}\p{Lu}]+"), regex.compile(r"\p{N}+"), regex.compile(r"([^\p{L}\p{N}\n])\1+")
 
 
 def _forms(vocab: list[str]) -> list[str]:
-    """Tz!! -> Xx!: letters by case, digits as 9, runs as one character."""
-    text = "\n".join(x.replace("\n", " ") for x in vocab)
-    text = _UPPER.sub("X", _LOWER.sub("x", _DIGIT.sub("9", text)))
-    return [_RUN.sub(r"\1", x) if len(x) > 1 else x for x in text.split("\n")]
+    """Tz!! -> Xx!: letters by case, digits as 9, runs as one character; all words at once."""
+    text = "\n".join(vocab)
+    if text.count("\n") != len(vocab) - 1:
+        text = "\n".join(x.replace("\n", " ") for x in vocab)
+    return _RUN.sub(r"\1", _UPPER.sub("X", _LOWER.sub("x", _DIGIT.sub("9", text)))).split("\n")
 
 
 def _buckets(words: Words) -> np.ndarray:
     """Two rows of buckets per word of a batch: the bare word and its form."""
-    vocab = words.vocab.to_pylist()
     word = (hashes(bare(words.vocab)) % np.uint64(WORDS)).astype(np.int64)
-    form = WORDS + (hashes(_forms(vocab)) % np.uint64(FORMS)).astype(np.int64)
-    return np.stack([word, form])[:, words.code]
+    forms = pa.array(_forms(words.vocab.to_pylist()), pa.string()).dictionary_encode() if len(words.vocab) else pa.array([], pa.string()).dictionary_encode()
+    form = WORDS + (hashes(forms.dictionary) % np.uint64(FORMS)).astype(np.int64)
+    return np.stack([word, form[forms.indices.to_numpy()]])[:, words.code]
 
 
 def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,15 +102,24 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     if not len(full):
         return out
     start = words.offset[:-1][full]
-    for i, bucket in enumerate(_buckets(words)):
-        vector = vectors[bucket]
-        mean = np.add.reduceat(vector, start, axis=0) / count[full][:, None]
-        square = np.add.reduceat(vector * vector, start, axis=0) / count[full][:, None]
-        out[full, 2 * i * DIMENSIONS : (2 * i + 1) * DIMENSIONS] = mean
-        out[full, (2 * i + 1) * DIMENSIONS : (2 * i + 2) * DIMENSIONS] = np.sqrt(np.maximum(square - mean * mean, 0))
-        out[full, 4 * DIMENSIONS + i] = np.linalg.norm(mean, axis=1)
+    both = _buckets(words)
+    # vectors of so many words at once
+    block = np.searchsorted(start, np.arange(0, words.offset[-1] + POOLED, POOLED))
+    for a, z in zip(block, block[1:], strict=False):
+        if a == z:
+            continue
+        rows, size = full[a:z], count[full[a:z]][:, None]
+        end = words.offset[rows[-1] + 1]
+        for i in range(2):
+            vector = vectors[both[i, start[a] : end]]
+            mean = np.add.reduceat(vector, start[a:z] - start[a], axis=0) / size
+            np.square(vector, out=vector)
+            square = np.add.reduceat(vector, start[a:z] - start[a], axis=0) / size
+            out[rows, 2 * i * DIMENSIONS : (2 * i + 1) * DIMENSIONS] = mean
+            out[rows, (2 * i + 1) * DIMENSIONS : (2 * i + 2) * DIMENSIONS] = np.sqrt(np.maximum(square - mean * mean, 0))
+            out[rows, 4 * DIMENSIONS + i] = np.linalg.norm(mean, axis=1)
     # how near each word's vector is to the next one's: 1 where a text repeats a word over and over
-    bucket = _buckets(words)[0]
+    bucket = both[0]
     same = np.append((bucket[1:] == bucket[:-1]) & (words.doc[1:] == words.doc[:-1]), False)
     out[full, 4 * DIMENSIONS + 2] = np.add.reduceat(same.astype(np.float32), start) / count[full]
     return out
@@ -171,7 +183,7 @@ class Network:
 
 def _score(vectors, network: Network):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=4 << 20):
+        for batch in text_slices(batches, limit=8 << 20):
             score = network.probability(pooled(batch.column("text"), vectors.value))
             other = [x for x in batch.schema.names if x != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in other), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*other, "score", "predicted"])
