@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from boardsift.llm.common import arrow_batches, held_out, text_slices
 from boardsift.llm.labelled import labelled_sample
-from boardsift.llm.text import bare_words
+from boardsift.llm.text import Words, bare_words
 
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS = 1 << 14, 1 << 13
@@ -191,14 +191,28 @@ def _plain(vocab: list[str]) -> list[str]:
     return [x.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in vocab]
 
 
-def _log_odds(ids: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """How much more often a bucket occurs in toxic documents, as a smoothed log ratio of document shares."""
-    pair = np.unique(doc * size + ids)
-    toxic = label[pair // size] == 1
-    n1, n0 = max(1, label.sum()), max(1, (label == 0).sum())
-    a = np.bincount((pair % size)[toxic], minlength=size)
-    b = np.bincount((pair % size)[~toxic], minlength=size)
-    # shrunk to 0 where a bucket is rare
+def _log_odds(words: Words, lex: Lexicon, label: np.ndarray, grams: bool) -> np.ndarray:
+    """How much more often a bucket of words or grams occurs in toxic documents, as a smoothed log ratio of document
+    shares; counted over a few documents at once."""
+    size = GRAMS if grams else WORDS
+    counts = np.zeros((2, size))
+    for low in range(0, len(label), 200):
+        edge = words.offset[low : low + 201]
+        seen = np.unique(np.repeat(np.arange(len(edge) - 1), np.diff(edge)) * len(lex.word) + words.code[edge[0] : edge[-1]])
+        doc, word = seen // max(1, len(lex.word)), seen % max(1, len(lex.word))
+        if grams:
+            count = np.diff(lex.edge)[word]
+            at = np.repeat(lex.edge[:-1][word] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            ids, doc = lex.gram[at], np.repeat(doc, count)
+        else:
+            ids = lex.word[word]
+        pair = np.unique(doc * size + ids)
+        toxic = label[low + pair // size] == 1
+        counts[1] += np.bincount((pair % size)[toxic], minlength=size)
+        counts[0] += np.bincount((pair % size)[~toxic], minlength=size)
+    n1, n0 = label.sum(), (label == 0).sum()
+    b, a = counts
+    # 0 where a bucket is rare
     return (np.log((a + 2.0) / (n1 + 4.0)) - np.log((b + 2.0 * n0 / n1) / (n0 + 4.0 * n0 / n1))) * (a + b * n1 / n0 >= 3)
 
 
@@ -210,18 +224,13 @@ def train(texts: list[str], label: np.ndarray, rounds: int = 3, epochs: int = 4,
     random = np.random.default_rng(seed)
     words, hashed = bare_words(pa.array(texts, pa.string()))
     lex = lexicon(_plain(words.vocab.to_pylist()), hashed)
-    doc = words.doc
-    word_odds = _log_odds(lex.word[words.code], doc, label, WORDS)
-    size = np.diff(lex.edge)[words.code]
-    grams = np.repeat(lex.edge[:-1][words.code], size)
-    grams = lex.gram[grams + np.arange(len(grams)) - np.repeat(np.concatenate([[0], np.cumsum(size)])[:-1], size)]
-    gram_odds = _log_odds(grams, np.repeat(doc, size), label, GRAMS)
-    network.p["word"][:, 0] = np.clip(word_odds, -3, 3)
-    network.p["gram"][:, 0] = np.clip(gram_odds, -3, 3)
+    network.p["word"][:, 0] = np.clip(_log_odds(words, lex, label, False), -3, 3)
+    network.p["gram"][:, 0] = np.clip(_log_odds(words, lex, label, True), -3, 3)
     start, owner = windows(words.offset)
-    index = window_words(words.code, words.offset, start, owner, len(lex.word))
+    index = window_words(words.code.astype(np.int32), words.offset, start, owner, len(lex.word)).astype(np.int32)
     strength = network.features(lex)[:, [0, EMBED]].max(1)
-    value = np.append(strength[:-1], -9.0)[index].max(1)
+    strength[-1] = -9
+    value = np.concatenate([strength[part].max(1) for part in np.array_split(index, len(index) // 20_000 + 1)])
     names = list(network.p)
     first, second = ({k: np.zeros_like(network.p[k]) for k in names} for _ in range(2))
     step, total = 0, rounds * epochs
