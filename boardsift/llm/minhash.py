@@ -7,9 +7,10 @@ with the probability of their weighted Jaccard similarity.  Texts that share a w
 candidate pair counts once its exact weighted Jaccard similarity is at least 0.8.
 
 Texts of equal words are one node.  In a band's bucket nodes are first compared with a leader, a star of pairs.
-What the stars leave apart is then compared in blocks of bounded size, in which signatures rule out unlike pairs, best
-pairs of two classes first, until no untested pair of different classes is left.  So a bucket of thousands of copies
-costs a star, and no link between different classes is lost.
+What the stars leave apart is then compared in blocks of bounded size, in which signatures rule out unlike pairs.  In
+every round each class takes the untested pairs that agree most (one at first, twice as many each time), those that
+are similar enough join classes, and rounds end when no untested pair of different classes is left.  So a bucket of
+thousands of copies costs pairs in proportion to its members, and no link between different classes is lost.
 """
 
 from __future__ import annotations
@@ -190,25 +191,36 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array(node)], names=["bucket", "node"])
 
 
-def _compare_blocks(key, table):
-    """Pairs of one bucket's blocks: of any two classes the pair of members that agree most, if they agree enough and
-    weren't tested before."""
-    node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
-    side, own = table.column("side").to_numpy(), table.column("own").to_numpy()
-    samples = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(node), -1)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero((side == 1) | (own == 1))
-    out: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for i in left.tolist():
-        agree = (samples[right] == samples[i]).mean(1)
-        for j in np.flatnonzero((agree >= AGREE) & (label[right] != label[i])).tolist():
-            k = right[j]
-            a, b = (i, k) if node[i] < node[k] else (k, i)
-            pair = (min(label[a], label[b]), max(label[a], label[b]))
-            best = (-float(agree[j]), int(node[a]), int(node[b]))
-            if pair not in out or best < out[pair]:
-                out[pair] = best
-    found = sorted(out.values())
-    return pa.table({"left": pa.array([x[1] for x in found], pa.int64()), "right": pa.array([x[2] for x in found], pa.int64())})
+def _compare_blocks(most: int):
+    """Pairs of one bucket's blocks: for every class the ``most`` pairs of a member of it and one of another class that
+    agree most, of those that agree enough and haven't failed before.  Linear in the classes, not in their pairs."""
+    def work(key, table, failed):
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        side, own = table.column("side").to_numpy(), table.column("own").to_numpy()
+        over = set(zip(failed.column("left").to_pylist(), failed.column("right").to_pylist(), strict=True))
+        samples = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(node), -1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero((side == 1) | (own == 1))
+        ends, scores = [], []
+        for i in left.tolist():
+            agree = (samples[right] == samples[i]).mean(1)
+            near = np.flatnonzero((agree >= AGREE) & (label[right] != label[i]))
+            ends.append(np.stack([np.full(len(near), i), right[near]], 1))
+            scores.append(agree[near])
+        pair = np.concatenate(ends) if ends else np.empty((0, 2), np.int64)
+        score = np.concatenate(scores) if scores else np.empty(0)
+        low, high = np.minimum(node[pair[:, 0]], node[pair[:, 1]]), np.maximum(node[pair[:, 0]], node[pair[:, 1]])
+        if over and len(pair):
+            fresh = np.array([p not in over for p in zip(low.tolist(), high.tolist(), strict=True)], bool)
+            pair, score, low, high = pair[fresh], score[fresh], low[fresh], high[fresh]
+        # each pair stands under the classes of both its ends
+        both = np.concatenate([label[pair[:, 0]], label[pair[:, 1]]])
+        low, high, score = np.tile(low, 2), np.tile(high, 2), np.tile(score, 2)
+        order = np.lexsort((high, low, -score, both))
+        place = np.arange(len(order)) - np.searchsorted(both[order], both[order])
+        kept = order[place < most]
+        return pa.table({"label": pa.array(both[kept], pa.int64()), "left": pa.array(low[kept], pa.int64()), "right": pa.array(high[kept], pa.int64()), "agree": pa.array(score[kept], pa.float64())})
+
+    return work
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,22 +301,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rated = stars.join(parts, "node").join(parts.toDF("leader", "leader_samples"), "leader").select("node", "leader", _agreement(F.col("samples"), F.col("leader_samples")).alias("agree")).where(F.col("agree") >= AGREE)
     best = rated.groupBy("node").agg(F.max_by("leader", F.struct(F.col("agree"), -F.col("leader"))).alias("leader"))
     tested = staged(_verified(source, idf, staged(best.select(F.col("leader").alias("left"), F.col("node").alias("right")), "pairs")), "tested")
+    most = 1
     while True:
         labels = components(tested.where(F.col("similarity") >= similarity).select("left", "right"))
         labelled = bands.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", "n")
-        left = labelled.join(mixed, "bucket")
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         # a bucket is cut into blocks, and each block meets each other one once
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        left = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
+        block = lambda node: F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+        left = staged(labelled.join(mixed, "bucket").withColumn("block", block("node")), "mixed")
         as_left = left.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("bucket", F.col("block").alias("one"), F.col("other").alias("two"), "node", "label", F.lit(0).alias("side"), (F.col("block") == F.col("other")).cast("int").alias("own"))
         as_right = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).where("other <> block").select("bucket", F.col("other").alias("one"), F.col("block").alias("two"), "node", "label", F.lit(1).alias("side"), F.lit(0).alias("own"))
         meeting = as_left.unionByName(as_right).join(signature, "node")
-        pairs = meeting.groupBy("bucket", "one", "two").applyInArrow(_compare_blocks, "left long, right long").distinct()
-        pairs = staged(pairs.join(tested, ["left", "right"], "left_anti"), "pairs")
+        ends = left.select("bucket", "node", "block")
+        failed = tested.where(F.col("similarity") < similarity).select("left", "right")
+        failed = failed.join(ends.toDF("bucket", "left", "a"), "left").join(ends.toDF("bucket", "right", "b"), ["bucket", "right"])
+        failed = failed.select("bucket", F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two"), "left", "right")
+        found = meeting.groupBy("bucket", "one", "two").cogroup(failed.groupBy("bucket", "one", "two")).applyInArrow(_compare_blocks(most), "label long, left long, right long, agree double")
+        # of all its blocks' pairs a class takes the best ones
+        best = Window.partitionBy("label").orderBy(F.desc("agree"), "left", "right")
+        pairs = found.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+        pairs = staged(pairs.select("left", "right").distinct(), "pairs")
         if pairs.isEmpty():
             break
         tested = staged(tested.unionByName(_verified(source, idf, pairs)), "tested")
+        most *= 2
     placed = signed.select("row", "doc_id", "same").join(nodes.select("same", "node"), "same").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = staged(placed.select("row", "doc_id", "label"), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
