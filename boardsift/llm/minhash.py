@@ -8,7 +8,7 @@ candidate pair counts once its exact weighted Jaccard similarity is at least 0.8
 
 Texts of equal words are one node.  In a band's bucket nodes are first compared with a leader, a star of pairs.
 What the stars leave apart is then compared in blocks of bounded size, in which signatures rule out unlike pairs.  In
-every round each class takes the untested pairs that agree most (one at first, twice as many each time), those that
+every round each class takes the untested pairs that agree most (one at first, four times as many each time), those that
 are similar enough join classes, and rounds end when no untested pair of different classes is left.  So a bucket of
 thousands of copies costs pairs in proportion to its members, and no link between different classes is lost.
 """
@@ -32,8 +32,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 15, 4
 #: Buckets of the table of document frequencies.
 BUCKETS = 1 << 20
-#: Pairs whose samples agree less often are not compared word by word: 0.8 less four and a half standard deviations.
+#: Members that agree less often with a leader are not compared with it word by word: 0.8 less four and a half standard
+#: deviations.
 AGREE = 0.56
+#: Samples (of 8 bits) of texts that the stars leave in doubt, and how many must agree: 0.8 less three standard
+#: deviations, so that a pair of similarity 0.8 is overlooked about once in a thousand times, a closer one less.
+FINE, FINE_AGREE = 256, 0.725
 #: Members of a bucket compared at once; larger buckets are compared block by block.
 BLOCK = 512
 _TABLE = 16
@@ -66,7 +70,7 @@ def _draws() -> tuple[np.ndarray, ...]:
     random = np.random.default_rng(80_11)
     n = 1 << _TABLE
     r = random.gamma(2, 1, n).astype(np.float32)
-    return r, (1 / r).astype(np.float32), np.log(random.gamma(2, 1, n)).astype(np.float32), random.random(n, np.float32), random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    return r, (1 / r).astype(np.float32), np.log(random.gamma(2, 1, n)).astype(np.float32), random.random(n, np.float32), random.integers(0, 1 << 63, BANDS * ROWS + FINE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,16 +112,18 @@ def shingles(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[begin], weight[begin] * times.astype(np.float32), start, total
 
 
-def signatures(key: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """16-bit samples of every text that has shingles (rows) by improved consistent weighted sampling."""
+def signatures(key: np.ndarray, weight: np.ndarray, start: np.ndarray, fine: bool = False) -> np.ndarray:
+    """Samples of every text that has shingles (rows) by improved consistent weighted sampling: those of the bands in
+    16 bits, or the fine ones in 8."""
     r, inverse, log_c, beta, odd = _draws()
+    odd = odd[BANDS * ROWS :] if fine else odd[: BANDS * ROWS]
     full = np.flatnonzero(np.diff(start))
-    out = np.zeros((len(full), BANDS * ROWS), np.uint16)
+    out = np.zeros((len(full), len(odd)), np.uint8 if fine else np.uint16)
     if not len(full):
         return out
     begin, size = start[:-1][full], np.diff(start)[full]
     log_weight = np.log(weight)
-    for j in range(BANDS * ROWS):
+    for j in range(len(odd)):
         mixed = key * odd[j]
         slot = (mixed >> np.uint64(64 - _TABLE)).astype(np.int64)
         rate, shift = r[slot], beta[slot]
@@ -128,7 +134,7 @@ def signatures(key: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.nda
         owner = np.searchsorted(begin, at, side="right") - 1
         at = at[np.concatenate([[True], owner[1:] != owner[:-1]])]  # of equal draws that of the smallest shingle
         sample = (mixed[at] ^ (t[at].astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
-        out[:, j] = (sample >> np.uint64(48)).astype(np.uint16)
+        out[:, j] = (sample >> np.uint64(56 if fine else 48)).astype(out.dtype)
     return out
 
 
@@ -149,6 +155,16 @@ def _sign(idf):
     return work
 
 
+def _sign_fine(idf):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, limit=8 << 20):
+            key, weight, start, _ = shingles(batch.column(_TEXT), idf.value)
+            rows = pa.array(np.flatnonzero(np.diff(start)))
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(rows), pa.array([x.tobytes() for x in signatures(key, weight, start, True)], pa.binary())], names=["node", "fine"])
+
+    return work
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     least = np.minimum(a[1][x], b[1][y]).sum(dtype=np.float64)
@@ -198,12 +214,12 @@ def _compare_blocks(most: int):
         node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
         side, own = table.column("side").to_numpy(), table.column("own").to_numpy()
         over = set(zip(failed.column("left").to_pylist(), failed.column("right").to_pylist(), strict=True))
-        samples = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(node), -1)
+        samples = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(len(node), -1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero((side == 1) | (own == 1))
         ends, scores = [], []
         for i in left.tolist():
             agree = (samples[right] == samples[i]).mean(1)
-            near = np.flatnonzero((agree >= AGREE) & (label[right] != label[i]))
+            near = np.flatnonzero((agree >= FINE_AGREE) & (label[right] != label[i]))
             ends.append(np.stack([np.full(len(near), i), right[near]], 1))
             scores.append(agree[near])
         pair = np.concatenate(ends) if ends else np.empty((0, 2), np.int64)
@@ -301,7 +317,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rated = stars.join(parts, "node").join(parts.toDF("leader", "leader_samples"), "leader").select("node", "leader", _agreement(F.col("samples"), F.col("leader_samples")).alias("agree")).where(F.col("agree") >= AGREE)
     best = rated.groupBy("node").agg(F.max_by("leader", F.struct(F.col("agree"), -F.col("leader"))).alias("leader"))
     tested = staged(_verified(source, idf, staged(best.select(F.col("leader").alias("left"), F.col("node").alias("right")), "pairs")), "tested")
-    most = 1
+    most, fine = 1, None
     while True:
         labels = components(tested.where(F.col("similarity") >= similarity).select("left", "right"))
         labelled = bands.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -309,9 +325,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         # a bucket is cut into blocks, and each block meets each other one once
         block = lambda node: F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
         left = staged(labelled.join(mixed, "bucket").withColumn("block", block("node")), "mixed")
+        if fine is None:  # later rounds have fewer texts in doubt
+            doubtful = _texts(source, left.select(F.col("node").alias("row")).distinct())
+            fine = staged(doubtful.mapInArrow(_sign_fine(idf), "node long, fine binary"), "fine")
         as_left = left.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("bucket", F.col("block").alias("one"), F.col("other").alias("two"), "node", "label", F.lit(0).alias("side"), (F.col("block") == F.col("other")).cast("int").alias("own"))
         as_right = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).where("other <> block").select("bucket", F.col("other").alias("one"), F.col("block").alias("two"), "node", "label", F.lit(1).alias("side"), F.lit(0).alias("own"))
-        meeting = as_left.unionByName(as_right).join(signature, "node")
+        meeting = as_left.unionByName(as_right).join(fine, "node")
         ends = left.select("bucket", "node", "block")
         failed = tested.where(F.col("similarity") < similarity).select("left", "right")
         failed = failed.join(ends.toDF("bucket", "left", "a"), "left").join(ends.toDF("bucket", "right", "b"), ["bucket", "right"])
@@ -324,7 +343,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         if pairs.isEmpty():
             break
         tested = staged(tested.unionByName(_verified(source, idf, pairs)), "tested")
-        most *= 2
+        most *= 4
     placed = signed.select("row", "doc_id", "same").join(nodes.select("same", "node"), "same").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = staged(placed.select("row", "doc_id", "label"), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
