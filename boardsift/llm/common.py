@@ -78,6 +78,16 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             start = end
 
 
+def without_rows(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """``docs`` without the scan's rows whose numbers ``lost`` holds in its column row; all columns stay, whatever
+    their names."""
+    name = "row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    return numbered.join(lost.select(F.col("row").alias(name)), name, "left_anti").drop(name)
+
+
 def held_out(doc_id) -> "F.Column":
     """Rows that no model may learn labels from: crc32 of the id as text, mod 5, is 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

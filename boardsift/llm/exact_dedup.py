@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import arrow_batches, staged, text_slices
+from boardsift.llm.common import arrow_batches, staged, text_slices, without_rows
 
 #: Characters that do not count when texts are compared: [\x20\x09-\x0D].
 IGNORED = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -111,6 +111,4 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`exact_duplicates` does not keep; all columns stay."""
-    lost = exact_duplicates(docs).where(~F.col("kept")).select(F.col("row").alias("__row"))
-    lost = staged(lost, "lost")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(lost, "__row", "left_anti").drop("__row")
+    return without_rows(docs, staged(exact_duplicates(docs).where(~F.col("kept")).select("row"), "lost"))

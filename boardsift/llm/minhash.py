@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import arrow_batches, drop_staged, staged, text_slices
+from boardsift.llm.common import arrow_batches, drop_staged, staged, text_slices, without_rows
 from boardsift.llm.text import bare_words, hashes
 from boardsift.llm.treesum import partial_rows, tree_sum
 
@@ -356,5 +356,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the first; all columns stay."""
-    lost = staged(near_duplicates(docs, similarity).where(~F.col("first")).select(F.col("row").alias("__row")), "lost")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(lost, "__row", "left_anti").drop("__row")
+    return without_rows(docs, staged(near_duplicates(docs, similarity).where(~F.col("first")).select("row"), "lost"))
