@@ -78,6 +78,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             start = end
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` if its rows have the same numbers (``monotonically_increasing_id``) whenever they are read, as those of a
+    scan do; else, with a shuffle or a limit in its plan, a copy in the shared folder."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    steps = {line.lstrip(" +-:!'").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()}
+    return df if steps <= {"Relation", "RelationV2", "Project", "Filter", "LocalRelation", "LogicalRDD"} else staged(df, "stable")
+
+
 def without_rows(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """``docs`` without the scan's rows whose numbers ``lost`` holds in its column row; all columns stay, whatever
     their names."""

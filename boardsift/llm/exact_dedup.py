@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import arrow_batches, staged, text_slices, without_rows
+from boardsift.llm.common import arrow_batches, stable, staged, text_slices, without_rows
 
 #: Characters that do not count when texts are compared: [\x20\x09-\x0D].
 IGNORED = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -101,7 +101,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     one stays, and a null doc_id comes after all others.  Other columns are ignored, and an empty table gives an
     empty result.
     """
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     digests = staged(arrow_batches(source).mapInArrow(_digest, "row long, doc_id long, digest binary, check long, chars long"), "digests")
     groups = staged(tree_merge(digests), "groups")
     joined = digests.select("row", "doc_id", "digest").join(groups, "digest", "left")
@@ -111,4 +111,5 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`exact_duplicates` does not keep; all columns stay."""
+    docs = stable(docs)
     return without_rows(docs, staged(exact_duplicates(docs).where(~F.col("kept")).select("row"), "lost"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import arrow_batches, drop_staged, staged, text_slices, without_rows
+from boardsift.llm.common import arrow_batches, drop_staged, stable, staged, text_slices, without_rows
 from boardsift.llm.text import bare_words, hashes
 from boardsift.llm.treesum import partial_rows, tree_sum
 
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     fewer than five words are one shingle.  Repeated rows are copies; other columns are ignored; an empty table gives
     an empty result.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, stable(docs)
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias(_TEXT))
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
     signed = staged(arrow_batches(source).mapInArrow(_sign(idf), "row long, doc_id long, same long, signature binary"), "signatures")
@@ -356,4 +356,5 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the first; all columns stay."""
+    docs = stable(docs)
     return without_rows(docs, staged(near_duplicates(docs, similarity).where(~F.col("first")).select("row"), "lost"))
