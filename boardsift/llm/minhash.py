@@ -8,7 +8,7 @@ candidate pair counts once its exact weighted Jaccard similarity is at least 0.8
 
 Texts of equal words are one node.  In a band's bucket nodes are first compared with a leader, a star of pairs.
 What the stars leave apart is then compared in blocks of bounded size, in which signatures rule out unlike pairs.  In
-every round each class takes the untested pairs that agree most (one at first, four times as many each time), those that
+every round each class takes the untested pairs that agree most (four at first, eight times as many each time), those that
 are similar enough join classes, and rounds end when no untested pair of different classes is left.  So a bucket of
 thousands of copies costs pairs in proportion to its members, and no link between different classes is lost.
 """
@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rated = stars.join(parts, "node").join(parts.toDF("leader", "leader_samples"), "leader").select("node", "leader", _agreement(F.col("samples"), F.col("leader_samples")).alias("agree")).where(F.col("agree") >= AGREE)
     best = rated.groupBy("node").agg(F.max_by("leader", F.struct(F.col("agree"), -F.col("leader"))).alias("leader"))
     tested = staged(_verified(source, idf, staged(best.select(F.col("leader").alias("left"), F.col("node").alias("right")), "pairs")), "tested")
-    most, fine = 1, None
+    most, fine = 4, None
     while True:
         labels = components(tested.where(F.col("similarity") >= similarity).select("left", "right"))
         labelled = bands.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -343,7 +343,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         if pairs.isEmpty():
             break
         tested = staged(tested.unionByName(_verified(source, idf, pairs)), "tested")
-        most *= 4
+        most *= 8
     placed = signed.select("row", "doc_id", "same").join(nodes.select("same", "node"), "same").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = staged(placed.select("row", "doc_id", "label"), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
