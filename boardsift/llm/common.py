@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside one Python task.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
 #: Rows sent to a Python worker at once.
 BATCH_ROWS = 4000
 

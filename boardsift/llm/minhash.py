@@ -140,7 +140,7 @@ def signatures(key: np.ndarray, weight: np.ndarray, start: np.ndarray, fine: boo
 
 def _sign(idf):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=12 << 20):
+        for batch in text_slices(batches, limit=5 << 20):
             key, weight, start, total = shingles(batch.column(_TEXT), idf.value)
             rows = np.flatnonzero(np.diff(start))
             signature: list[bytes | None] = [None] * batch.num_rows
@@ -157,7 +157,7 @@ def _sign(idf):
 
 def _sign_fine(idf):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=8 << 20):
+        for batch in text_slices(batches, limit=4 << 20):
             key, weight, start, _ = shingles(batch.column(_TEXT), idf.value)
             rows = pa.array(np.flatnonzero(np.diff(start)))
             yield pa.RecordBatch.from_arrays([batch.column("row").take(rows), pa.array([x.tobytes() for x in signatures(key, weight, start, True)], pa.binary())], names=["node", "fine"])
@@ -174,7 +174,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 def _verify(idf):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(text_slices(batches, "right_text"), "left_text", 8 << 20):
+        for batch in text_slices(text_slices(batches, "right_text", 4 << 20), "left_text", 4 << 20):
             # a leader's text stands in many rows, often one after another: each distinct text is cut once
             both = pa.concat_arrays([batch.column("left_text"), batch.column("right_text")]).dictionary_encode()
             key, weight, start, _ = shingles(both.dictionary, idf.value)
