@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
     sample = labelled_sample(docs, labels, "quality").select("label", "text")
     rows = arrow_batches(sample).mapInArrow(_pool(vectors), "label int, x binary").collect()  # bounded by the sample
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), 4 * DIMENSIONS + 3)
     return vectors, Network(x, np.array([r["label"] for r in rows], np.int64))
 
 

@@ -27,6 +27,8 @@ WORDS, GRAMS = 1 << 14, 1 << 13
 EMBED, HIDDEN, ATTEND = 6, 8, 8
 #: A document is toxic from this score on.
 THRESHOLD = 0.5
+#: Steps of each training round at least.
+MIN_STEPS = 60
 #: Windows scored at once.
 CHUNK = 4096
 
@@ -233,15 +235,17 @@ def train(texts: list[str], label: np.ndarray, rounds: int = 3, epochs: int = 4,
     value = np.concatenate([strength[part].max(1) for part in np.array_split(index, len(index) // 20_000 + 1)])
     names = list(network.p)
     first, second = ({k: np.zeros_like(network.p[k]) for k in names} for _ in range(2))
-    step, total = 0, rounds * epochs
+    step = 0
     for turn in range(rounds):
         # the worst window of every document, and of clean ones as many at random
         order = np.lexsort((-value, owner))
         lead = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])] if len(order) else order
         other = np.flatnonzero(label[owner] == 0)
         picked = np.concatenate([lead, random.choice(other, min(len(other), len(lead)), replace=False)])
-        for epoch in range(epochs):
-            rate = 8e-3 * (1 - (turn * epochs + epoch) / total) + 5e-4
+        # small samples are read more often, so that every training takes MIN_STEPS steps a round at least
+        passes = max(epochs, -(-MIN_STEPS // -(-len(picked) // 128)))
+        for epoch in range(passes):
+            rate = 8e-3 * (1 - (turn + epoch / passes) / rounds) + 5e-4
             mixed = random.permutation(picked)
             for batch in (mixed[i : i + 128] for i in range(0, len(mixed), 128)):
                 used, inner = np.unique(index[batch], return_inverse=True)
