@@ -182,6 +182,17 @@ def to_text(player: Column, opponent: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), cell), "")
 
 
+def mask_to_moves(x: Column) -> Column:
+    """A set as text, each square as (file, rank) from 0: ``[,(2, 3),(4, 5),]``."""
+    square = lambda i: F.concat(F.lit("("), (i % 8).cast("string"), F.lit(", "), F.floor(i / 8).cast("string"), F.lit(")"))
+    return F.array_join(F.concat(F.array(F.lit("[")), F.transform(bits_of(x), square), F.array(F.lit("]"))), ",")
+
+
+def onebit(x: Column) -> Column:
+    """No more than one bit is set."""
+    return x.bitwiseAND(x - 1) == 0
+
+
 def show(player: Column, opponent: Column) -> Column:
     return F.regexp_replace(to_text(player, opponent), "(.{8})", "$1\n")
 

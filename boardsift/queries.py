@@ -327,6 +327,22 @@ def _(spark, sf):
     return table(spark, sf, "customer").select(c("c_custkey").alias("k"), F.round(stats.scale_to_population(c("c_custkey") / 1e6) / 1e20).alias("boards"))
 
 
+@register("mask_to_moves", statement("SELECT b.k, '[,' || coalesce(string_agg('(' || (sq % 8) || ', ' || (sq // 8) || ')', ',' ORDER BY sq) || ',', '') || ']' AS moves FROM b LEFT JOIN (SELECT DISTINCT k, sq FROM turned) t USING (k) GROUP BY b.k", "turned", "b"))
+def _(spark, sf):
+    return boards(spark, sf).select("k", bits.mask_to_moves(bits.moves(c("player"), c("opponent"))).alias("moves"))
+
+
+@register("onebit", "SELECT c_custkey AS k, bit_count((c_custkey % 256)::INTEGER) <= 1 AS one FROM customer")
+def _(spark, sf):
+    return table(spark, sf, "customer").select(c("c_custkey").alias("k"), bits.onebit(c("c_custkey") % 256).alias("one"))
+
+
+@register("rand_below", "SELECT c_custkey AS k, TRUE AS inside FROM customer")
+def _(spark, sf):
+    drawn = table(spark, sf, "customer").withColumn("r", sources.rand_below(1000))
+    return drawn.select(c("c_custkey").alias("k"), c("r").between(0, 999).alias("inside"))
+
+
 # filters
 
 
@@ -546,6 +562,13 @@ def _(spark, sf):
     return spark.read.text(path).groupBy("verdict").agg(F.count("*").alias("boards"))
 
 
+@register("partition_complement", "SELECT count(*) AS boards FROM customer")
+def _(spark, sf):
+    path = new_path(spark, "split")
+    sinks.write_split(boards(spark, sf), filters.occupancy(), path)
+    return spark.read.text(path).agg(F.count("*").alias("boards"))
+
+
 @register("sink_explain", statement(f"SELECT CASE WHEN e = occ THEN 'OK' ELSE 'NG' END AS verdict, {text_of('e')} AS value, count(*) AS n FROM seen GROUP BY 1, 2", "seen", **SUPPLIER))
 def _(spark, sf):
     path = new_path(spark, "explained")

@@ -91,6 +91,13 @@ def _seed(seed: int, i: int) -> int:
     return int.from_bytes(hashlib.sha256(f"{seed}-{i}".encode()).digest()[:7], "big")
 
 
+def rand_below(limit: int, seed: int = 0) -> Column:
+    """A number uniform in [0, limit) for every row, for limits up to 2^53."""
+    if not 0 < limit <= 1 << 53:
+        raise ValueError("the limit must lie in 1 .. 2^53")
+    return F.floor(F.rand(_seed(seed, -1)) * F.lit(limit)).cast("long")
+
+
 def gen_uniform(spark: SparkSession, count: int, seed: int = 0) -> DataFrame:
     """Boards uniform over all positions with a full centre: every square by a draw of its own."""
     cell = [F.when(F.rand(_seed(seed, i)) < 0.5, "X").otherwise("O") if i in bits.CENTRE_SQUARES else F.element_at(F.array(F.lit("-"), F.lit("X"), F.lit("O")), (F.rand(_seed(seed, i)) * 3).cast("int") + 1) for i in range(64)]
