@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,10 @@ MAX_ROWS = 2500
 MAX_CHARS = 20_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[DataFrame, float]:
     """doc_id, text, label of at most ``max_rows`` documents of each label: those with the smallest hash of their id.
+    And what a logit learned from them must be shifted by: log odds of the labels of all labelled documents less those
+    of the sample, as the larger class is cut more (0 without documents of both labels).
 
     Only labels of rows that aren't held out are read; null labels and ids are skipped, and an id with several labels
     has the largest.
@@ -22,7 +25,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # twice the bound, as some texts are too long or missing
+    known = staged(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "known")
+    # twice the bound, as some texts are too long
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("label") == value).orderBy(order).limit(2 * max_rows) for value in (0, 1)]
     chosen = staged(chosen[0].unionByName(chosen[1]), "sample")  # at most 4 * max_rows ids
@@ -30,4 +34,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     found = found.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
     found = staged(found, "sampled")
     halves = [found.where(F.col("label") == value).orderBy(order).limit(max_rows) for value in (0, 1)]
-    return halves[0].unionByName(halves[1])
+    counts = [{r["label"]: r["count"] for r in rows.groupBy("label").count().collect()} for rows in (known, found)]
+    sampled = {value: min(n, max_rows) for value, n in counts[1].items()}
+    shift = _log_odds(counts[0]) - _log_odds(sampled) if len(sampled) == 2 else 0.0
+    return halves[0].unionByName(halves[1]), shift
+
+
+def _log_odds(count: dict[int, int]) -> float:
+    return float(np.log(count[1] / count[0]))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardsift.llm.common import arrow_batches, held_out, text_slices
-from boardsift.llm.labelled import labelled_sample
+from boardsift.llm.labelled import MAX_ROWS, labelled_sample
 from boardsift.llm.ragged import offsets
 from boardsift.llm.text import Words, bare, hashes, split_words
 from boardsift.llm.treesum import partial_rows, tree_sum
@@ -181,24 +181,24 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _score(vectors, network: Network):
+def _score(vectors, network: Network, shift: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=8 << 20):
-            score = network.probability(pooled(batch.column("text"), vectors.value))
+            score = network.probability(pooled(batch.column("text"), vectors.value), shift)
             other = [x for x in batch.schema.names if x != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in other), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*other, "score", "predicted"])
 
     return work
 
 
-def fit(docs: DataFrame, labels: DataFrame):
-    """Word vectors from all documents, and a network from a bounded sample of labelled ones."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
+    """Word vectors from all documents, a network from a bounded sample of labelled ones, and the shift of its logits."""
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
-    sample = labelled_sample(docs, labels, "quality").select("label", "text")
-    rows = arrow_batches(sample).mapInArrow(_pool(vectors), "label int, x binary").collect()  # bounded by the sample
+    sample, shift = labelled_sample(docs, labels, "quality", max_rows)
+    rows = arrow_batches(sample.select("label", "text")).mapInArrow(_pool(vectors), "label int, x binary").collect()  # bounded by the sample
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), 4 * DIMENSIONS + 3)
-    return vectors, Network(x, np.array([r["label"] for r in rows], np.int64))
+    return vectors, Network(x, np.array([r["label"] for r in rows], np.int64)), shift
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,17 +208,17 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     empty texts are scored as texts without words.  Without labels of both kinds every score is the labels' share.
     Repeated rows are scored alike, other columns are ignored, and an empty table gives an empty result.
     """
-    vectors, network = fit(docs, labels)
+    vectors, network, shift = fit(docs, labels)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = arrow_batches(plain).mapInArrow(_score(vectors, network), "doc_id long, score double, predicted int")
+    scored = arrow_batches(plain).mapInArrow(_score(vectors, network, shift), "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; all columns stay."""
-    vectors, network = fit(docs, labels)
+    vectors, network, shift = fit(docs, labels)
     names = docs.columns
     renamed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"))
     types = renamed.select("doc").schema[0].dataType.simpleString()
-    scored = arrow_batches(renamed).mapInArrow(_score(vectors, network), f"doc {types}, score double, predicted int")
+    scored = arrow_batches(renamed).mapInArrow(_score(vectors, network, shift), f"doc {types}, score double, predicted int")
     return scored.where("predicted = 1").select("doc.*")

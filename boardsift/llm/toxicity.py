@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boardsift.llm.common import arrow_batches, held_out, text_slices
-from boardsift.llm.labelled import labelled_sample
+from boardsift.llm.labelled import MAX_ROWS, labelled_sample
 from boardsift.llm.text import Words, bare_words
 
 WINDOW, STRIDE = 32, 16
@@ -81,6 +81,8 @@ class Network:
             self.p |= {f"W{side}": normal(2 * EMBED, 3 * HIDDEN), f"U{side}": normal(HIDDEN, 3 * HIDDEN), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"A": normal(2 * HIDDEN, ATTEND), "a0": np.zeros(ATTEND, np.float32), "av": normal(ATTEND), "w": normal(2 * HIDDEN), "b": np.zeros(1, np.float32)}
         self.prior: float | None = None
+        #: What is added to the logit of a text: the labels are not sampled at their shares.
+        self.shift = 0.0
 
     def features(self, lex: Lexicon) -> np.ndarray:
         """Inputs of every distinct word, and of the blank after them."""
@@ -186,7 +188,7 @@ class Network:
         logit = self.logits(feature, gates_index)
         worst = np.full(n, -30.0)
         np.maximum.at(worst, doc, logit)
-        return np.where(np.diff(words.offset) > 0, 1 / (1 + np.exp(-np.clip(worst, -30, 30))), 0.0)
+        return np.where(np.diff(words.offset) > 0, 1 / (1 + np.exp(-np.clip(worst + self.shift, -30, 30))), 0.0)
 
 
 def _plain(vocab: list[str]) -> list[str]:
@@ -277,11 +279,14 @@ def _score(network):
     return work
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:
     """A network from a bounded sample of labelled documents."""
-    rows = labelled_sample(docs, labels, "toxic").select("doc_id", "text", "label").collect()  # bounded by the sample
+    sample, shift = labelled_sample(docs, labels, "toxic", max_rows)
+    rows = sample.select("doc_id", "text", "label").collect()  # bounded by the sample
     rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
+    network = train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
+    network.shift = shift
+    return network
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

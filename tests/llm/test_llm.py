@@ -256,3 +256,24 @@ def test_oracles(spark, name):
     theirs = sorted((str([plain(x) for x in row]) for row in want.select(", ".join(f'"{c}"' for c in columns)).fetchall()))
     ours = sorted(str([plain(x) for x in row]) for row in queries.QUERIES[name](spark, SF).select(*columns).collect())
     assert ours == theirs
+
+
+@pytest.mark.parametrize(("module", "label", "rare"), [(quality, "quality", 0), (toxicity, "toxic", 1)])
+def test_capped_fit_agrees_with_whole_fit(spark, module, label, rare):
+    """Nine in ten rows of the rare label and three in ten others read alike, so the labels' shares decide about them."""
+    r = random.Random(4)
+    rows = [(i, rare if i % 10 == 0 else 1 - rare) for i in range(2000)]
+    marked = [r.random() < (0.9 if y == rare else 0.3) for _, y in rows]
+    texts = [" ".join(r.choice(("bee", "bat", "bug") if m else ("ant", "ape", "auk")) for _ in range(20)) for m in marked]
+    docs, labels = docs_of(spark, [(i, t) for (i, _), t in zip(rows, texts, strict=True)]), spark.createDataFrame(rows, f"doc_id long, {label} int")
+
+    def predicted(max_rows):
+        if module is toxicity:
+            score = toxicity.fit(docs, labels, max_rows).probability(pa.array(texts))
+        else:
+            vectors, network, shift = quality.fit(docs, labels, max_rows)
+            score = network.probability(quality.pooled(pa.array(texts), vectors.value), shift)
+        return score >= module.THRESHOLD
+
+    whole, capped = predicted(10**6), predicted(150)
+    assert (whole == (1 - rare)).mean() > 0.99 and (whole == capped).mean() > 0.95
