@@ -78,22 +78,21 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             start = end
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """``df`` if its rows have the same numbers (``monotonically_increasing_id``) whenever they are read, as those of a
-    scan do; else, with a shuffle or a limit in its plan, a copy in the shared folder."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    steps = {line.lstrip(" +-:!'").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()}
-    return df if steps <= {"Relation", "RelationV2", "Project", "Filter", "LocalRelation", "LogicalRDD"} else staged(df, "stable")
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """A copy of ``df`` in the shared folder with a column of row numbers, and the name of that column.
 
-
-def without_rows(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """``docs`` without the scan's rows whose numbers ``lost`` holds in its column row; all columns stay, whatever
-    their names."""
+    Numbers are written once, as those of a scan (``monotonically_increasing_id``) change with the way its files are
+    cut, which depends on the cores that are live when it is planned."""
     name = "row"
-    while name.lower() in {c.lower() for c in docs.columns}:
+    while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    return numbered.join(lost.select(F.col("row").alias(name)), name, "left_anti").drop(name)
+    return staged(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def without_rows(docs: DataFrame, name: str, lost: DataFrame) -> DataFrame:
+    """``docs`` of :func:`numbered` without the rows whose numbers ``lost`` holds in its column row; all columns but
+    the number stay, whatever their names."""
+    return docs.join(lost.select(F.col("row").alias(name)), name, "left_anti").drop(name)
 
 
 def held_out(doc_id) -> "F.Column":

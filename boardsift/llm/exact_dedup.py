@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import arrow_batches, stable, staged, text_slices, without_rows
+from boardsift.llm.common import arrow_batches, numbered, staged, text_slices, without_rows
 
 #: Characters that do not count when texts are compared: [\x20\x09-\x0D].
 IGNORED = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -96,12 +96,17 @@ def tree_merge(digests: DataFrame) -> DataFrame:
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """Find the rows of ``docs`` (doc_id, text, ...) whose texts are equal but for white space.
 
-    Returns one row per input row: row (the scan's row number), doc_id, keep_id, group_size, kept, text_sha256.
+    Returns one row per input row: row (a row number), doc_id, keep_id, group_size, kept, text_sha256.
     A null text counts as empty; empty texts equal each other.  Of rows that are equal in text, length and doc_id
     one stays, and a null doc_id comes after all others.  Other columns are ignored, and an empty table gives an
     empty result.
     """
-    source = stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # the rows are read once: their numbers are written with the digests
+    return _duplicates(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+
+
+def _duplicates(source: DataFrame) -> DataFrame:
+    """What :func:`exact_duplicates` returns, of rows (row, doc_id, text)."""
     digests = staged(arrow_batches(source).mapInArrow(_digest, "row long, doc_id long, digest binary, check long, chars long"), "digests")
     groups = staged(tree_merge(digests), "groups")
     joined = digests.select("row", "doc_id", "digest").join(groups, "digest", "left")
@@ -111,5 +116,6 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`exact_duplicates` does not keep; all columns stay."""
-    docs = stable(docs)
-    return without_rows(docs, staged(exact_duplicates(docs).where(~F.col("kept")).select("row"), "lost"))
+    docs, name = numbered(docs)
+    source = docs.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return without_rows(docs, name, staged(_duplicates(source).where(~F.col("kept")).select("row"), "lost"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import arrow_batches, drop_staged, stable, staged, text_slices, without_rows
+from boardsift.llm.common import arrow_batches, drop_staged, numbered, staged, text_slices, without_rows
 from boardsift.llm.text import bare_words, hashes
 from boardsift.llm.treesum import partial_rows, tree_sum
 
@@ -294,15 +294,19 @@ def _verified(source: DataFrame, idf, pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Classes of near duplicates among ``docs`` (doc_id, text, ...).
 
-    Returns one row per input row: row (the scan's row number), doc_id, class_row and class_id (the smallest row of
+    Returns one row per input row: row (a row number), doc_id, class_row and class_id (the smallest row of
     the class by doc_id, null last, then row; and its doc_id), class_size, first (whether the row is that one).
     Texts of equal words belong together; a text without words, null included, only with the very same text.  Texts of
     fewer than five words are one shingle.  Repeated rows are copies; other columns are ignored; an empty table gives
     an empty result.
     """
-    spark, docs = docs.sparkSession, stable(docs)
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias(_TEXT))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
+    source, _ = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias(_TEXT)))
+    return _classes(source, similarity)
+
+
+def _classes(source: DataFrame, similarity: float) -> DataFrame:
+    """What :func:`near_duplicates` returns, of rows (row, doc_id, text) whose numbers are written."""
+    idf = source.sparkSession.sparkContext.broadcast(inverse_frequencies(source))
     signed = staged(arrow_batches(source).mapInArrow(_sign(idf), "row long, doc_id long, same long, signature binary"), "signatures")
     # texts of equal words are one node, named by its first row
     nodes = staged(signed.groupBy("same").agg(F.min("row").alias("node"), F.min_by("signature", "row").alias("signature")), "nodes")
@@ -356,5 +360,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the first; all columns stay."""
-    docs = stable(docs)
-    return without_rows(docs, staged(near_duplicates(docs, similarity).where(~F.col("first")).select("row"), "lost"))
+    docs, name = numbered(docs)
+    source = docs.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias(_TEXT))
+    return without_rows(docs, name, staged(_classes(source, similarity).where(~F.col("first")).select("row"), "lost"))

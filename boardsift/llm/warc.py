@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, WriterCommitMessage
 
-from boardsift.llm.common import arrow_batches, scratch_path, stable, staged
+from boardsift.llm.common import arrow_batches, numbered, scratch_path, staged
 
 #: What a revisit record claims to be.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -263,8 +263,7 @@ def register(spark: SparkSession) -> None:
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html, revisit, refers_to: of pages whose payloads are equal and at least ``min_bytes`` long, the
     one with the largest page_id (null smallest; of repeated rows the first) keeps its payload, the rest revisit it."""
-    pages = stable(pages)
-    source = pages.select(F.monotonically_increasing_id().alias("row"), pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
+    source, _ = numbered(pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html")))
     payload = F.coalesce("html", F.lit(""))
     keys = source.select("row", "page_id", F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("size")).where(F.col("size") >= min_bytes)
     best = keys.groupBy("sha").agg(F.max(F.struct(F.col("page_id").alias("page_id"), (-F.col("row")).alias("back"))).alias("best"), F.count("*").alias("n")).where("n > 1")

@@ -277,3 +277,34 @@ def test_capped_fit_agrees_with_whole_fit(spark, module, label, rare):
 
     whole, capped = predicted(10**6), predicted(150)
     assert (whole == (1 - rare)).mean() > 0.99 and (whole == capped).mean() > 0.95
+
+
+def test_row_numbers_survive_another_cut_of_the_files(spark, tmp_path, monkeypatch):
+    """Every table written changes how many partitions the next scan of the same files has, as lost executors do."""
+    base = [words(60, i) for i in range(12)]
+    rows = [(i, base[i % 12] + (" extra" if i >= 12 else "")) for i in range(48)]
+    docs_of(spark, rows).repartition(8).write.parquet(str(tmp_path / "docs"))
+    pages = spark.createDataFrame([(i, "u", base[i % 12]) for i in range(48)], "page_id long, url string, html string")
+    pages.repartition(8).write.parquet(str(tmp_path / "pages"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    turn = iter(range(1000))
+    for module in (minhash, exact_dedup, warc):
+
+        def cut(df, tag, before=module.staged):
+            found = before(df, tag)
+            spark.conf.set("spark.sql.files.minPartitionNum", (1, 16)[next(turn) % 2])
+            return found
+
+        monkeypatch.setattr(module, "staged", cut)
+    try:
+        read = lambda name: spark.read.parquet(str(tmp_path / name))
+        near = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(read("docs")).collect()}
+        near_kept = sorted(r["doc_id"] for r in minhash.keep_one_of_each(read("docs")).collect())
+        exact_kept = sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(read("docs")).collect())
+        revisits = {r["page_id"]: r["refers_to"] for r in warc.with_revisits(read("pages")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert near == {i: i % 12 for i in range(48)} and near_kept == list(range(12))
+    assert exact_kept == list(range(24))
+    assert revisits == {i: None if i >= 36 else 36 + i % 12 for i in range(48)}
