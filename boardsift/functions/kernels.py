@@ -267,6 +267,16 @@ def pruned(player: np.ndarray, opponent: np.ndarray) -> np.ndarray:
     return keep
 
 
+def h_score(player: np.ndarray, opponent: np.ndarray) -> np.ndarray:
+    """Search order: smaller is better; the same numbers as ``bits.h_score``."""
+    total = lambda x, directions: sum(np.bitwise_count(x & step(d, x)).astype(np.int64) for d in directions)
+    occupied = player | opponent
+    half = [NAMES.index(n) for n in NAMES[:4]]
+    mine, theirs = total(player, half), total(opponent, half)
+    counts = (np.zeros(len(player)), total(occupied, range(8)), (mine + theirs) // 2, np.minimum(mine, theirs) // 2)
+    return sum(1.0 / (n + 1) for n in counts) * 2.0 ** np.bitwise_count(occupied)
+
+
 def growth_steps(occupied: int) -> list[int]:
     """Masks from the centre outwards over the explained squares, one square more each, in breadth-first order with
     neighbours N, NE, E, SE, S, SW, W, NW."""

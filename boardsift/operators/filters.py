@@ -41,20 +41,44 @@ def cascade(df: DataFrame) -> DataFrame:
     return known.withColumn("rejected_by", F.when(F.col("rejected_by").isNotNull(), F.col("rejected_by")).when(~seg3_more("player", "opponent"), "seg3_more"))
 
 
+#: Targets whose images are broadcast at most.
+FEW = 10_000
+
+
+def _fits(i: Column, j: Column) -> Column:
+    """Whether a board can still grow into the board (i, j): its discs are discs there, and those that can never turn
+    agree in colour, maybe all swapped."""
+    union = i.bitwiseOR(j)
+    stable = stable_discs(occupied(), union)
+    s = lambda x: x.bitwiseAND(stable)
+    agree = ((s(F.col("player")) == s(i)) & (s(F.col("opponent")) == s(j))) | ((s(F.col("player")) == s(j)) & (s(F.col("opponent")) == s(i)))
+    return (occupied().bitwiseAND(F.bitwise_not(union)) == 0) & agree
+
+
+def _with_images(df: DataFrame) -> DataFrame:
+    """A row for each image (i_player, i_opponent) of the target (t_player, t_opponent)."""
+    rows = df.withColumn("image", F.explode(bits.images(F.col("t_player"), F.col("t_opponent"))))
+    return rows.withColumn("i_player", F.col("image.player")).withColumn("i_opponent", F.col("image.opponent")).drop("image")
+
+
+def grown_into_target(df: DataFrame) -> DataFrame:
+    """The distinct rows whose boards can still grow into some image of the target (t_player, t_opponent) beside them."""
+    return _with_images(df).where(_fits(F.col("i_player"), F.col("i_opponent"))).select(*df.columns).distinct()
+
+
 def fwd_compatible(boards: DataFrame, targets: DataFrame) -> DataFrame:
     """board rows x target rows (columns of targets prefixed ``t_``) such that the board can still grow into some image
-    of the target: its discs are target discs, and those that can never turn agree in colour, maybe all swapped.
+    of the target.
 
-    ``targets`` are few: they are broadcast, eight images each.
+    Every pair has to be looked at, so up to ``FEW`` targets are broadcast, eight images each; more are left to the
+    planner, in blocks of both sides.
     """
-    images = targets.withColumn("image", F.explode(bits.images(F.col("t_player"), F.col("t_opponent"))))
-    images = images.select(*targets.columns, F.col("image.player").alias("i_player"), F.col("image.opponent").alias("i_opponent"))
+    images = _with_images(targets)
     i, j = F.col("i_player"), F.col("i_opponent")
-    both = boards.join(F.broadcast(images), occupied().bitwiseAND(F.bitwise_not(i.bitwiseOR(j))) == 0)
-    both = both.withColumn("stable", stable_discs(occupied(), i.bitwiseOR(j)))
-    s = lambda x: x.bitwiseAND(F.col("stable"))
-    agree = ((s(F.col("player")) == s(i)) & (s(F.col("opponent")) == s(j))) | ((s(F.col("player")) == s(j)) & (s(F.col("opponent")) == s(i)))
-    return both.where(agree).select(*boards.columns, *targets.columns).distinct()
+    if targets.limit(FEW + 1).count() <= FEW:
+        images = F.broadcast(images)
+    both = boards.join(images, occupied().bitwiseAND(F.bitwise_not(i.bitwiseOR(j))) == 0)
+    return both.where(_fits(i, j)).select(*boards.columns, *targets.columns).distinct()
 
 
 def stones_equal(n: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardsift.functions import bits, kernels
-
+from boardsift.staging import staged
 
 
 def forward_moves(df: DataFrame) -> DataFrame:
@@ -116,6 +116,19 @@ def sort_boards(df: DataFrame) -> DataFrame:
     return df.orderBy(bits.flip_sign(F.col("player")), bits.flip_sign(F.col("opponent")))
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` with the place (from 1) of each row in the total order.
+
+    Rows are sorted in ranges and numbered within each; a range's places start after the rows of those before it, which
+    needs one number per range."""
+    keys = [bits.flip_sign(F.col("player")), bits.flip_sign(F.col("opponent"))]
+    numbered = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id()), "sorted")
+    part, inside = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return numbered.withColumn("part", part).withColumn("inside", inside).join(F.broadcast(ranges.select("part", "base")), "part").withColumn("place", F.col("base") + F.col("inside") + 1).drop("part", "inside", "base")
+
+
 def merge_sorted_distinct(runs: list[DataFrame]) -> DataFrame:
     """Distinct boards of several layers, in order."""
     out = runs[0].select("player", "opponent")

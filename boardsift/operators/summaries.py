@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.functions import bits, stats
@@ -36,9 +36,18 @@ def count_distinct(df: DataFrame) -> DataFrame:
 def wilson_ci(verdicts: DataFrame, alpha: float = 0.005) -> DataFrame:
     """Counts of OK, NG and UNKNOWN, the interval of the share of OK (its upper bound counts UNKNOWN as OK), and the
     interval scaled to all positions.  No verdicts at all, or an alpha out of (0, 1), is an error."""
-    z = stats.norm_ppf(alpha)
     number = lambda v: F.count(F.when(F.col("verdict") == v, 1))
-    counts = verdicts.agg(number("OK").alias("ok"), number("NG").alias("ng"), number("UNKNOWN").alias("unknown"))
+    return _interval(verdicts.agg(number("OK").alias("ok"), number("NG").alias("ng"), number("UNKNOWN").alias("unknown")), alpha)
+
+
+def interval(spark: SparkSession, counts: list[tuple[str, int]], alpha: float = 0.005) -> DataFrame:
+    """The same of counts that are known: (verdict, number)."""
+    known = dict(counts)
+    return _interval(spark.createDataFrame([tuple(known.get(v, 0) for v in ("OK", "NG", "UNKNOWN"))], "ok long, ng long, unknown long"), alpha)
+
+
+def _interval(counts: DataFrame, alpha: float) -> DataFrame:
+    z = stats.norm_ppf(alpha)
     n = (F.col("ok") + F.col("ng") + F.col("unknown")).cast("double")
     n = F.when(n > 0, n).otherwise(F.raise_error(F.lit("no verdicts")).cast("double"))
     low = stats.wilson_bounds(F.col("ok").cast("double"), n, z)["lower"]

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from boardsift.functions import bits
 from boardsift.operators import filters, moves
+from boardsift.plans import dive
 from boardsift.staging import staged
 
+#: Boards a dive may find before a board is left to the level search.
+FIRST_DIVE = 20_000
+
 BOARD = ["player", "opponent"]
 
 
@@ -50,9 +54,7 @@ def forward_table_pruned(spark: SparkSession, targets: DataFrame, discs: int) ->
     columns = [*BOARD, *targets.columns]
     for n in range(4, discs):
         after = moves.canonical(moves.with_passes(moves.forward_step(level.select(*columns)))).dropDuplicates([*BOARD, "t_id"])
-        ids = targets.select("t_id")
-        kept = filters.fwd_compatible(after.withColumnRenamed("t_id", "own").select(*BOARD, "own"), targets).where("own = t_id").drop("own")
-        level = staged(kept.join(ids, "t_id", "left_semi").select(*columns), f"pruned{n + 1}")
+        level = staged(filters.grown_into_target(after.select(*columns)), f"pruned{n + 1}")
     return level.select("t_id", *BOARD)
 
 
@@ -66,19 +68,40 @@ def reverse_level(level: DataFrame, strict: bool = False) -> DataFrame:
     return moves.reverse_step(level.select("board_id", *BOARD), strict).dropDuplicates(["board_id", *BOARD])
 
 
-def reverse_bfs(boards: DataFrame, discs: int, leaves: DataFrame | None = None, max_nodes: int | None = None, strict: bool = False, resume: DataFrame | None = None) -> DataFrame:
+def reverse_dfs(boards: DataFrame, discs: int, leaves: DataFrame | None = None, max_nodes: int = dive.MAX_NODES, batch: int = dive.BATCH, strict: bool = False) -> DataFrame:
+    """Verdicts on boards (board_id, player, opponent) by a dive for each: OK at the first line that meets the forward
+    table at ``discs`` discs, NG if none is left, UNKNOWN once more than ``max_nodes`` boards were found; with
+    invalid_reason, found and opened (null for unsound boards, which are NG).  ``batch`` boards are opened at once, the
+    best first; with 1 it is plain ordered depth-first search."""
+    spark = boards.sparkSession
+    if leaves is None:
+        leaves = forward_table(spark, discs)[1]
+    marked = staged(boards.select("board_id", *BOARD, filters.validate().alias("invalid_reason")), "boards")
+    found = dive.dives(marked.where("invalid_reason IS NULL"), discs, leaves, max_nodes, batch, strict)
+    unsound = marked.where("invalid_reason IS NOT NULL").select("board_id", F.lit("NG").alias("verdict"), F.lit(None).cast("long").alias("found"), F.lit(None).cast("long").alias("opened"), "invalid_reason")
+    return found.withColumn("invalid_reason", F.lit(None).cast("string")).unionByName(unsound)
+
+
+def reverse_bfs(boards: DataFrame, discs: int, leaves: DataFrame | None = None, max_nodes: int | None = None, strict: bool = False, resume: DataFrame | None = None, first_dive: int = FIRST_DIVE) -> DataFrame:
     """Verdicts on boards (board_id, player, opponent): OK if some line of predecessors meets the forward table at
     ``discs`` discs, NG if none does, UNKNOWN if more than ``max_nodes`` boards were found before that was settled.
 
-    Unsound boards are NG with an ``invalid_reason``; boards of at most ``discs`` discs are looked up directly.
-    ``strict`` allows only predecessors that play forwards again; the two modes answer different questions.
-    ``resume`` is a level written earlier (board_id, player, opponent, all of one disc count) to go on from.
+    Boards that a short dive settles (``first_dive`` boards found at most; 0 for none) take no part in the levels, which
+    go through all lines to their end.  Unsound boards are NG with an ``invalid_reason``; boards of at most ``discs``
+    discs are looked up directly.  ``strict`` allows only predecessors that play forwards again; the two modes answer
+    different questions.  ``resume`` is a level written earlier (board_id, player, opponent, all of one disc count) to
+    go on from.
     """
     spark = boards.sparkSession
     if leaves is None:
         leaves = forward_table(spark, discs)[1]
     marked = staged(boards.select("board_id", *BOARD, filters.validate().alias("invalid_reason"), bits.popcount(F.col("player"), F.col("opponent")).alias("discs")), "boards")
     sound = marked.where("invalid_reason IS NULL")
+    settled = None
+    if first_dive and max_nodes is None and resume is None:
+        dived = staged(dive.dives(sound.where(F.col("discs") > discs), discs, leaves, first_dive, strict=strict), "dived")
+        settled = dived.where("verdict <> 'UNKNOWN'").select("board_id", "verdict")
+        sound = staged(sound.join(settled, "board_id", "left_anti"), "open")
     highest = sound.agg(F.max("discs")).first()[0] or 0
     level = None
     if resume is not None:
@@ -100,12 +123,25 @@ def reverse_bfs(boards: DataFrame, discs: int, leaves: DataFrame | None = None,
     found = moves.meet(last, leaves).select("board_id").distinct().withColumn("found", F.lit(True))
     out = marked.join(found, "board_id", "left")
     verdict = F.when(F.col("found"), "OK")
+    if settled is not None:
+        out = out.join(settled.withColumnRenamed("verdict", "dived"), "board_id", "left")
+        verdict = F.when(F.col("dived").isNotNull(), F.col("dived")).when(F.col("found"), "OK")
     if over is not None:
         out = out.join(over.withColumn("over", F.lit(True)), "board_id", "left")
         verdict = verdict.when(F.col("over"), "UNKNOWN")
     return out.select("board_id", verdict.otherwise("NG").alias("verdict"), "invalid_reason")
 
 
+def node_stats(spark: SparkSession, discs: int) -> DataFrame:
+    """discs, processed (distinct boards that were played on) and generated (boards after their moves, before any
+    removal of duplicates) of the forward table."""
+    out = spark.createDataFrame([], "discs int, processed long, generated long")
+    for n, level in enumerate(forward_levels(spark, discs)[:-1], 4):
+        counts = level.agg(F.count("*").alias("processed"), F.coalesce(F.sum(bits.popcount(bits.moves(F.col("player"), F.col("opponent")), F.lit(0).cast("long")).cast("long")), F.lit(0)).alias("generated"))
+        out = out.unionByName(counts.select(F.lit(n).alias("discs"), "processed", "generated"))
+    return out
+
+
 def reverse_best_first(boards: DataFrame, discs: int, leaves: DataFrame | None = None, batch: int = 1000, max_nodes: int = 1_000_000, strict: bool = False, keep=None) -> DataFrame:
     """Verdicts by best-first search: in every round the ``batch`` open boards of smallest h_score of each board_id are
     taken; leaves settle their board_id, the others are replaced by their predecessors.  ``keep`` is a further
@@ -134,7 +170,7 @@ def reverse_best_first(boards: DataFrame, discs: int, leaves: DataFrame | None =
             grow = grow.where(keep)
         fresh = reverse_level(grow.join(solved, "board_id", "left_anti").join(unknown, "board_id", "left_anti"), strict).select("board_id", *BOARD)
         fresh = staged(fresh.join(seen, ["board_id", *BOARD], "left_anti"), "fresh")
-        seen = staged(seen.unionByName(fresh), "seen")
+        seen = seen.unionByName(fresh)  # a part for each round, none written again
         rest = ranked.where(F.col("place") > batch).select("board_id", *BOARD)
         open_ = staged(rest.unionByName(fresh).join(solved, "board_id", "left_anti").join(unknown, "board_id", "left_anti"), "open")
     out = marked.select("board_id", "invalid_reason").join(solved.withColumn("found", F.lit(True)), "board_id", "left").join(unknown.withColumn("over", F.lit(True)), "board_id", "left")

@@ -418,23 +418,34 @@ def _(spark, sf):
     return filters.cascade(suppliers(spark, sf)).select("k", "rejected_by")
 
 
-# boards of random play can be reached, so no filter may reject them
-_REACHED = "SELECT i AS board_id, 'OK' AS verdict FROM range(12) t(i)"
+def _spoiled(played: DataFrame) -> DataFrame:
+    """Boards, and from 1000 on the same with one more disc far from all others, which no line of play can place."""
+    far = occupied().bitwiseOR(bits.spread(bits.spread(occupied())))
+    lost = played.withColumn("square", F.get(bits.bits_of(F.bitwise_not(far)), F.lit(0))).where("square IS NOT NULL")
+    lost = lost.withColumn("player", c("player").bitwiseOR(bits.square_bit(c("square")))).withColumn("board_id", c("board_id") + 1000)
+    return played.select("board_id", "player", "opponent").unionByName(lost.select("board_id", "player", "opponent"))
 
 
-@register("sat", _REACHED)
+def _by_kind(count: int, spoiled: int, good: str, bad: str) -> str:
+    return f"SELECT i AS board_id, {good} FROM range({count}) t(i) UNION ALL SELECT i + 1000, {bad} FROM range({spoiled}) t(i)"
+
+
+# boards of random play can be reached, so no filter may reject them; a disc that no other explains can't be
+
+
+@register("sat", _by_kind(12, 12, "'OK' AS verdict", "'NG'"))
 def _(spark, sf):
-    return sat.verdicts(_played(spark, 16, 12), "board_id").select("board_id", "verdict")
+    return sat.verdicts(_spoiled(_played(spark, 10, 12)), "board_id").select("board_id", "verdict")
 
 
-@register("lp", _REACHED)
+@register("lp", _by_kind(12, 12, "'OK' AS verdict", "'NG'"))
 def _(spark, sf):
-    return linear.verdicts(_played(spark, 16, 12), "board_id")
+    return linear.verdicts(_spoiled(_played(spark, 10, 12)), "board_id")
 
 
-@register("ip", "SELECT i AS board_id, TRUE AS kept FROM range(12) t(i)")
+@register("ip", _by_kind(12, 12, "TRUE AS kept", "FALSE"))
 def _(spark, sf):
-    return linear.verdicts(_played(spark, 16, 12), "board_id", integer=True).select("board_id", (F.col("verdict") != "NG").alias("kept"))
+    return linear.verdicts(_spoiled(_played(spark, 10, 12)), "board_id", integer=True).select("board_id", (F.col("verdict") != "NG").alias("kept"))
 
 
 @register("fwd_compatible")
@@ -545,12 +556,15 @@ def _verdicts(spark, sf):
     return boards(spark, sf).select("k", "board", F.when(c("k") % 11 == 0, "UNKNOWN").when(filters.con(), "OK").otherwise("NG").alias("verdict"))
 
 
-@register("wilson_ci", statement(f"SELECT ok, ng, unknown, round({_wilson('-')}, 6) AS lower FROM (SELECT *, ok / n AS p FROM (SELECT count(*) FILTER (v = 'OK') AS ok, count(*) FILTER (v = 'NG') AS ng, count(*) FILTER (v = 'UNKNOWN') AS unknown, count(*)::DOUBLE AS n FROM (SELECT {_VERDICT} AS v FROM ({_CON_SELECT}))))", "cells", "rays", more=_CON))
+@register("wilson_ci", statement(f"SELECT ok, ng, unknown, round({_wilson('-')}, 6) AS lower, round({_wilson('+').replace('p', 'q').replace('sqrt'.replace('p', 'q'), 'sqrt')}, 6) AS upper, round({_wilson('-')} * 678258532403459256228710931216 / 1e24) AS population_lower FROM (SELECT *, ok / n AS p, (ok + unknown) / n AS q FROM (SELECT count(*) FILTER (v = 'OK') AS ok, count(*) FILTER (v = 'NG') AS ng, count(*) FILTER (v = 'UNKNOWN') AS unknown, count(*)::DOUBLE AS n FROM (SELECT {_VERDICT} AS v FROM ({_CON_SELECT}))))", "cells", "rays", more=_CON))
 def _(spark, sf):
-    return summaries.wilson_ci(_verdicts(spark, sf)).select("ok", "ng", "unknown", F.round("lower", 6).alias("lower"))
+    found = summaries.wilson_ci(_verdicts(spark, sf))
+    return found.select("ok", "ng", "unknown", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), F.round(c("population_lower") / 1e24).alias("population_lower"))
 
 
-QUERIES["verdict_counts"], ORACLES["verdict_counts"] = QUERIES["wilson_ci"], ORACLES["wilson_ci"]
+@register("verdict_counts", statement(f"SELECT v AS verdict, count(*) AS boards FROM (SELECT {_VERDICT} AS v FROM ({_CON_SELECT})) GROUP BY 1", "cells", "rays", more=_CON))
+def _(spark, sf):
+    return summaries.totals(_verdicts(spark, sf), "verdict")
 
 # sinks
 
@@ -617,10 +631,7 @@ _ORDER = "row_number() OVER (ORDER BY reverse(translate(board, 'XO-', '100')), r
 
 @register("sort_boards", statement(f"SELECT k, {_ORDER} AS place FROM b", "b"))
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    order = Window.orderBy(bits.flip_sign(c("player")), bits.flip_sign(c("opponent")))  # the place is part of the report
-    return moves.sort_boards(boards(spark, sf)).select("k", F.row_number().over(order).cast("long").alias("place"))
+    return moves.placed(boards(spark, sf).select("k", "player", "opponent")).select("k", "place")
 
 
 @register("pop_best", statement(f"SELECT k FROM feat JOIN b USING (k) ORDER BY {_H}, reverse(translate(board, 'XO-', '100')), reverse(translate(board, 'XO-', '010')) LIMIT 10", "feat", "b"))
@@ -646,33 +657,49 @@ def _(spark, sf):
     return both.groupBy("discs").agg(F.count("*").alias("boards"))
 
 
-for _name in ("forward_table", "forward_expand", "node_stats"):
+for _name in ("forward_table", "forward_expand"):
     QUERIES[_name], ORACLES[_name] = QUERIES["layer_counts"], _LAYERS
 
 
+@register("node_stats", "SELECT * FROM (VALUES (4, 1, 4), (5, 1, 3), (6, 3, 14), (7, 14, 61)) t(discs, processed, generated)")
+def _(spark, sf):
+    return search.node_stats(spark, 8)
+
+
 def _played(spark, plies: int, count: int = 20) -> DataFrame:
     return sources.random_play(spark, count, plies, 7)
 
 
-_ALL_OK = "SELECT i AS board_id, 'OK' AS verdict FROM range(20) t(i)"
-for _name in ("reverse_bfs", "reverse_bfs_blocked", "reverse_bfs_parallel", "reverse_dfs", "reverse_dfs_ordered", "reverse_dfs_parallel"):
+_KINDS = _by_kind(20, 20, "'OK' AS verdict", "'NG'")
+# depth first: with the best board opened alone, a few at once, and many at once
+for _name, _batch in (("reverse_dfs", 8), ("reverse_dfs_ordered", 1), ("reverse_dfs_parallel", 64)):
+
+    def _dived(spark, sf, batch=_batch):
+        return search.reverse_dfs(_spoiled(_played(spark, 8)), 8, batch=batch).select("board_id", "verdict")
+
+    register(_name, _KINDS)(_dived)
+
+# by level: without a dive before, and with one
+for _name, _dive in (("reverse_bfs", search.FIRST_DIVE), ("reverse_bfs_blocked", 0), ("reverse_bfs_parallel", 0)):
 
-    def _reverse(spark, sf):
-        return search.reverse_bfs(_played(spark, 7), 7).select("board_id", "verdict")
+    def _reverse(spark, sf, dive=_dive):
+        return search.reverse_bfs(_spoiled(_played(spark, 8 if dive else 7)), 8 if dive else 7, first_dive=dive).select("board_id", "verdict")
 
-    register(_name, _ALL_OK)(_reverse)
+    register(_name, _KINDS)(_reverse)
 
 
-@register("reverse_bfs_resume", _ALL_OK)
+@register("reverse_bfs_resume", _KINDS)
 def _(spark, sf):
-    played = _played(spark, 7)
-    level = search.reverse_level(search._seeds(played))
-    return search.reverse_bfs(played, 7, resume=level).select("board_id", "verdict")
+    """The first level is written, and a search goes on from the file."""
+    played = _spoiled(_played(spark, 7))
+    path = new_path(spark, "level")
+    search.reverse_level(search._seeds(played)).write.parquet(path)
+    return search.reverse_bfs(played, 7, resume=spark.read.parquet(path)).select("board_id", "verdict")
 
 
-@register("reverse_gbfs", _ALL_OK)
+@register("reverse_gbfs", _KINDS)
 def _(spark, sf):
-    return search.reverse_best_first(_played(spark, 6), 7).select("board_id", "verdict")
+    return search.reverse_best_first(_spoiled(_played(spark, 6)), 7).select("board_id", "verdict")
 
 
 @register("node_limit", "SELECT i AS board_id, 'UNKNOWN' AS verdict FROM range(20) t(i)")

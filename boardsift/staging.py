@@ -11,10 +11,13 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``; a temporary folder only where it is unset and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="boardsift-"))
     return _own[0]

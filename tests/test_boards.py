@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from boardsift.functions import bits, kernels
 from boardsift.operators import filters, moves, summaries
-from boardsift.plans import search
+from boardsift import cli
+from boardsift.plans import dive, search
 from boardsift.solve import linear, sat
 from boardsift.sources import boards as sources
 from boardsift.sources import sinks
@@ -127,3 +128,43 @@ def test_solver_against_brute_force():
         clauses = [[random.choice((1, -1)) * random.randint(1, n) for _ in range(3)] for _ in range(random.randint(5, 40))]
         want = any(all(any((x > 0) == bool(m >> (abs(x) - 1) & 1) for x in c) for c in clauses) for m in range(1 << n))
         assert sat.solve(n, clauses) is want
+
+
+def test_dives_settle_played_boards(spark):
+    """Boards of 20 plies are all reached; an empty one is unsound."""
+    boards = sources.random_play(spark, 6, 20, 3).select("board_id", "player", "opponent").unionByName(spark.createDataFrame([(10, 0, 0)], "board_id long, player long, opponent long"))
+    found = {r["board_id"]: r for r in search.reverse_dfs(boards, 10).collect()}
+    assert [found[i]["verdict"] for i in range(6)] == ["OK"] * 6 and found[10]["verdict"] == "NG" and found[10]["invalid_reason"] == "MissingCenter"
+    assert all(found[i]["found"] >= found[i]["opened"] > 0 for i in range(6))
+    few = {r["board_id"]: r["verdict"] for r in search.reverse_dfs(boards.where("board_id < 6"), 10, max_nodes=5).collect()}
+    assert set(few.values()) == {"UNKNOWN"}
+
+
+def test_known_boards_against_a_set():
+    r = np.random.default_rng(1)
+    known, plain = dive.Known(), set()
+    for _ in range(40):
+        p, o = r.integers(0, 50, (2, 30)).astype(np.uint64)
+        assert known.has(p, o).tolist() == [x in plain for x in zip(p.tolist(), o.tolist())]
+        fresh = [x for x in set(zip(p.tolist(), o.tolist())) if x not in plain]
+        plain |= set(fresh)
+        known.add(*(np.array([x[k] for x in fresh], np.uint64) for k in (0, 1)))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    out = str(tmp_path / "out")
+    cli.run(spark, ["compute_ci", "--ok", "147", "--ng", "999349", "--unknown", "504"])
+    said = capsys.readouterr().out
+    assert "lower: 0.000117" in said and "upper: 0.000727" in said and "population_lower: 7.913957e+25" in said
+    cli.run(spark, ["random_play", "--plies", "6", "7", "-c", "3", "-o", out])
+    cli.run(spark, ["check", "con", out, "-o", str(tmp_path / "con")])
+    assert spark.read.text(str(tmp_path / "con")).groupBy("verdict").count().collect() == [("OK", 6)]
+    for how in ("dfs", "bfs"):
+        cli.run(spark, ["reverse_to_initial", how, out, "--discs", "7", "-o", str(tmp_path / how)])
+        assert spark.read.text(str(tmp_path / how)).groupBy("verdict").count().collect() == [("OK", 6)]
+    cli.run(spark, ["gen_random_boards", "-n", "10", "-c", "4", "-o", str(tmp_path / "made")])
+    capsys.readouterr()
+    cli.run(spark, ["stone_stats", str(tmp_path / "made")])
+    assert capsys.readouterr().out.split("\n")[:2] == ["14: 4", "mean: 14.0"]
+    cli.run(spark, ["fix_sat_file", out, "-s", out, "-o", str(tmp_path / "fixed")])
+    assert spark.read.text(str(tmp_path / "fixed")).count() == 0
