@@ -1,6 +1,10 @@
 """The corpus pipeline: each stage works on all that the stage before it kept, and its decisions take effect.
 
-All stages but the last return the columns of ``documents``; the last returns the packed pieces.
+All stages but the last return the columns of ``documents``, whatever their names; the last returns the packed pieces.
+Texts are read whole.  Null texts count as empty: they are not toxic, are scored as texts without words for quality,
+equal each other as exact copies, and are packed as one end id.  Repeated rows are copies of each other; of copies the
+row with the most characters, then the smallest doc_id stays.  Without labels of both kinds a classifier rejects
+nothing.  An empty table goes through all stages empty.
 """
 
 from __future__ import annotations
