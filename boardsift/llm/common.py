@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset and driver and
+    executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_scratch:
         _own_scratch.append("file://" + tempfile.mkdtemp(prefix="boardsift-"))
     return _own_scratch[0]
@@ -64,6 +69,26 @@ def arrow_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` that gives its worker's memory back when a task ends, as idle workers stay alive."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of each piece stays near ``limit`` bytes; a longer single text stays whole."""
     for batch in batches:
@@ -78,6 +103,16 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             start = end
 
 
+def rows_where(keep: Callable[[pa.Array], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows, with all their columns, whose texts (column ``text``) ``keep`` accepts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, limit=1 << 20):
+            yield batch.filter(pa.array(keep(batch.column("text").cast(pa.string())), pa.bool_()))
+
+    return frugal(work)
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """A copy of ``df`` in the shared folder with a column of row numbers, and the name of that column.
 
@@ -89,6 +124,16 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     return staged(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of the group of their ``key``, null where there is none.
+
+    Groups of over a thousandth of all rows, of which there are fewer than 1,000, are broadcast, so that no task
+    gathers the rows of a hot key; the others are joined by key."""
+    least = max(1000, rows.count() // 1000)
+    heavy, light = F.broadcast(groups.where(F.col(size) > least)), groups.where(F.col(size) <= least)
+    return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(light, key, "left"))
+
+
 def without_rows(docs: DataFrame, name: str, lost: DataFrame) -> DataFrame:
     """``docs`` of :func:`numbered` without the rows whose numbers ``lost`` holds in its column row; all columns but
     the number stay, whatever their names."""
