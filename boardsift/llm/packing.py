@@ -3,8 +3,9 @@
 A plan needs only how many pieces there are of each length, and lengths are at most the capacity, so the histogram
 has at most ``capacity`` entries whatever the corpus.  Large lengths are split into groups of equal cardinality and
 rounded up to the largest of their group; the few sizes that remain are packed by configurations (multisets that fit
-into one sequence), the fullest first, each as often as the demand allows.  Then real lengths take the places of the
-rounded ones, largest first, and the small pieces go by best fit into the room that is left.  The plan is a list of
+into one sequence), each as often as the linear program of the fewest sequences says.  Then real lengths take the places
+of the rounded ones, largest first; what rounding leaves over and the small pieces go by best fit into the room that is
+left.  The plan is a list of
 slots: ``count`` pieces of one length take one offset in ``count`` consecutive sequences.  Pieces find their slot by
 their rank within their length, which is counted per partition and summed over partitions.
 """
@@ -16,7 +17,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers
@@ -27,15 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import arrow_batches, staged, text_slices
+from boardsift.llm.common import arrow_batches, frugal, staged, text_slices
 from boardsift.llm.ragged import PieceCache, gather, offsets
 from boardsift.llm.text import split_words
 
 CAPACITY = 4096
 #: Id that ends every document.
 END = 1
-#: Groups of large lengths.
-GROUPS = 48
+#: Groups of large lengths, over a quarter of the capacity: three of them share a sequence at most.
+GROUPS = 192
+#: Pieces whose ids a worker keeps.
+PIECES = 60_000
 #: Slots of a plan that are sent to the executors at most (the plan's size depends on the capacity, not on the corpus).
 MAX_SLOTS = 2_000_000
 
@@ -49,7 +51,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.seen: dict[str, list[int]] = {}
         self.cache = PieceCache(self.encode_chunks)
         # how the library's byte level shows each byte: printable Latin-1 as itself, the rest from U+0100 on
@@ -62,8 +63,9 @@ class WordTokenizer:
         ids = self.seen.get(piece)
         if ids is None:
             ids = [t.id for t in self.whole.model.tokenize(piece)]
-            if len(self.seen) < 300_000:
-                self.seen[piece] = ids
+            if len(self.seen) >= PIECES:
+                self.seen.clear()
+            self.seen[piece] = ids
         return ids
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +98,20 @@ class WordTokenizer:
         return np.fromiter((i for ids in found for i in ids), np.int32, int(count.sum())), count
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text column and their number per row; null counts as empty.  A text that may hold one of the
+        tokenizer's special tokens, which the library knows by their strings, is left to the library."""
+        special = np.flatnonzero(pc.fill_null(pc.match_substring(column, "<|"), False).to_numpy(zero_copy_only=False))
+        if not len(special):
+            return self._encode_plain(column)
+        plain = np.setdiff1d(np.arange(len(column)), special)
+        ids, count = self._encode_plain(column.take(pa.array(plain)))
+        whole = [self.whole.encode(x, add_special_tokens=False).ids for x in column.take(pa.array(special)).to_pylist()]
+        held, begin = np.empty(len(column), np.int64), np.empty(len(column), np.int64)
+        held[plain], held[special] = count, [len(x) for x in whole]
+        begin[plain], begin[special] = offsets(count)[:-1], len(ids) + offsets(held[special])[:-1]
+        return gather(np.concatenate([ids, np.array([i for x in whole for i in x], ids.dtype)]), begin, held), held
+
+    def _encode_plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = split_words(column)
         used = np.unique(words.code)
         flat, start, count = self.cache.look_up(words.vocab.take(pa.array(used)).to_pylist())
@@ -117,7 +133,7 @@ def _cut(path: str, capacity: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part = load(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this partition
-        for batch in text_slices(batches, limit=8 << 20):
+        for batch in text_slices(batches, limit=4 << 20):
             ids, count = tokenizer.encode_column(batch.column("text"))
             edge = offsets(count)
             ended = np.full(len(ids) + len(count), END, np.uint32)
@@ -141,7 +157,7 @@ def _cut(path: str, capacity: int):
             seen += np.bincount(length, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), part)), batch.column("doc_id").take(pa.array(doc)), pa.array(number), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(place)], schema=_PIECES)
 
-    return work
+    return frugal(work)
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -151,27 +167,57 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     return plain.mapInArrow(_cut(path, capacity), _PIECES_DDL)
 
 
-def configurations(sizes: list[int], capacity: int, largest_first: bool = False) -> list[tuple[int, ...]]:
-    """All multisets of group numbers that fit, the fullest first: of all, or of those with the largest size, then of
-    those with the next one, and so on."""
-    most = capacity // min(sizes)
-    found = [(sum(sizes[g] for g in c), c) for n in range(1, most + 1) for c in combinations_with_replacement(range(len(sizes)), n)]
-    return [c for fill, c in sorted(found, key=lambda x: (x[1][0] if largest_first else 0, -x[0], x[1])) if fill <= capacity]
+def optimised(sizes: list[int], demand: list[int], capacity: int, most: int = 5000) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations (at most three group numbers) and how often to take each: the linear program of the fewest
+    sequences over all configurations, by the revised simplex method with columns made when they are needed, rounded down.
+
+    It starts from one size a sequence; the column that enters is the configuration worth most at the sizes' dual
+    prices, and an optimum is reached when none is worth more than a sequence (or after ``most`` steps)."""
+    basis: list[tuple[int, ...]] = [(g,) for g in range(len(sizes))]
+    inverse, times, size = np.eye(len(sizes)), np.array(demand, float), np.array(sizes)
+    room = capacity - size[:, None] - size[None, :]  # beside two groups, for a third one
+    fits = room >= 0
+    room = np.maximum(room, 0)
+    for _ in range(most):
+        price = inverse.sum(0)
+        # the group worth most in every room, -1 for none
+        third, worth = np.full(capacity + 1, -1), np.zeros(capacity + 1)
+        for g in np.argsort(price, kind="stable").tolist():
+            if price[g] > 0:
+                third[size[g] :], worth[size[g] :] = g, price[g]
+        pair = np.where(fits, price[:, None] + price[None, :] + worth[room], 0)
+        a, b = np.unravel_index(pair.argmax(), pair.shape)
+        enter = (int(price.argmax()),) if pair[a, b] <= price.max() else tuple(sorted(int(g) for g in (a, b, third[room[a, b]]) if g >= 0))
+        column = np.bincount(enter, minlength=len(sizes))
+        if price @ column <= 1 + 1e-6:
+            break
+        change = inverse @ column
+        able = np.flatnonzero(change > 1e-9)
+        leave = int(able[(times[able] / change[able]).argmin()])
+        step = max(0.0, times[leave] / change[leave])
+        times -= step * change
+        times[leave] = step
+        row = inverse[leave] / change[leave]
+        inverse -= np.outer(change, row)
+        inverse[leave] = row
+        basis[leave] = enter
+    return [(config, int(n + 1e-6)) for config, n in zip(basis, times.tolist(), strict=True) if n + 1e-6 >= 1]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int]]:
     """Slots (length, count, first sequence, offset) that place all pieces of a histogram {length: number}: the plan
-    with the fewest sequences over some numbers of groups and both orders of the configurations."""
-    plans = [_plan(histogram, capacity, max(1, n), first) for n in (groups // 2, groups, groups * 3 // 2) for first in (False, True)]
+    with the fewest sequences over two numbers of groups."""
+    plans = [_plan(histogram, capacity, max(1, n)) for n in (groups // 4, groups)]
     return min(plans, key=lambda slots: max((first + count for _, count, first, _ in slots), default=0))
 
 
-def _plan(histogram: dict[int, int], capacity: int, groups: int, largest_first: bool) -> list[tuple[int, int, int, int]]:
+def _plan(histogram: dict[int, int], capacity: int, groups: int) -> list[tuple[int, int, int, int]]:
     slots: list[tuple[int, int, int, int]] = []
     sequence = 0
     room: dict[int, list[tuple[int, int]]] = {}  # room left -> [(first sequence, number of sequences)]
-    slack = 2  # lengths over a quarter of the capacity are large: at most three of them share a sequence
-    large = [(n, histogram[n]) for n in sorted(histogram, reverse=True) if n > capacity >> slack and histogram[n]]
+    small = capacity // 4  # longer pieces are large
+    large = [(n, histogram[n]) for n in sorted(histogram, reverse=True) if n > small and histogram[n]]
+    loose = {n: count for n, count in histogram.items() if n <= small}  # what goes by best fit
     total = sum(n for _, n in large)
     if total:
         # groups of equal cardinality; a length may be split between two
@@ -201,9 +247,9 @@ def _plan(histogram: dict[int, int], capacity: int, groups: int, largest_first:
                     queues[group].pop(0)
             return out
 
-        for config in configurations(sizes, capacity, largest_first):
+        for config, most in sorted(optimised(sizes, demand, capacity)):
             need = Counter(config)
-            times = min(demand[g] // n for g, n in need.items())
+            times = min(most, *(demand[g] // n for g, n in need.items()))
             if not times:
                 continue
             runs = []
@@ -224,6 +270,9 @@ def _plan(histogram: dict[int, int], capacity: int, groups: int, largest_first:
                     used += run[at[i]][0]
                 room.setdefault(capacity - used, []).append((sequence + a, b - a))
             sequence += times
+        for queue in queues:
+            for length, count in queue:
+                loose[length] = loose.get(length, 0) + count
     # best fit: the sequence with the least room that still holds the piece
     rooms = sorted(room)
 
@@ -235,8 +284,8 @@ def _plan(histogram: dict[int, int], capacity: int, groups: int, largest_first:
                     rooms.insert(at, size)
             room[size].append((first, n))
 
-    for length in sorted((n for n in histogram if n <= capacity >> slack), reverse=True):
-        count = histogram[length]
+    for length in sorted(loose, reverse=True):
+        count = loose[length]
         while count:
             i = bisect.bisect_left(rooms, length)
             if i == len(rooms):
@@ -288,8 +337,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     """Pack all documents (doc_id, text, ...) into sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A null or empty text is
-    one piece that holds only the end id.  Repeated rows are packed as often as they occur; doc_id may be null; other
-    columns are ignored; an empty table gives an empty result.
+    one piece that holds only the end id.  Texts are taken whole, however long.  Repeated rows are packed as often as they
+    occur; doc_id may be null; other columns are ignored; an empty table gives an empty result.
     """
     pieces = staged(token_pieces(docs, path, capacity), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
@@ -300,7 +349,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     slots = plan(histogram, capacity, groups)
     if len(slots) > MAX_SLOTS:
         raise ValueError(f"a plan of {len(slots)} slots; use fewer groups")
-    ranked = pieces.join(base.select("part", "length", "base"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
+    # joined by merging, as both sides grow with the corpus
+    ranked = pieces.join(base.select("part", "length", "base").hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
     placed = ranked.select(*columns).mapInArrow(_placed(slots, capacity), "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return placed.withColumn("piece", F.col("piece").cast("int"))

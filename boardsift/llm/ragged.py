@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Bytes of strings and ids that a worker keeps.
+CACHE_BYTES = 48 << 20
+
 
 def offsets(length: np.ndarray) -> np.ndarray:
     out = np.zeros(len(length) + 1, np.int64)
@@ -20,14 +23,16 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 class PieceCache:
-    """Ids of strings that occur again and again, kept from batch to batch of a worker up to ``limit`` strings."""
+    """Ids of strings that occur again and again, kept from batch to batch of a worker.  It is emptied before a batch
+    when it holds ``limit`` bytes, by an estimate of what a string, its place and its ids take."""
 
-    def __init__(self, encode, limit: int = 500_000):
+    def __init__(self, encode, limit: int = CACHE_BYTES):
         self.encode, self.limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.bytes = 0
         self.start, self.count = np.empty(1024, np.int64), np.empty(1024, np.int64)
         self.ids, self.used = np.empty(4096, np.int32), 0
 
@@ -41,7 +46,7 @@ class PieceCache:
 
     def look_up(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids' flat array, and where each string's ids start in it and how many they are."""
-        if len(self.place) > self.limit:
+        if self.bytes > self.limit:
             self._clear()
         at = np.fromiter((self.place.get(x, -1) for x in strings), np.int64, len(strings))
         new = np.flatnonzero(at < 0)
@@ -54,6 +59,7 @@ class PieceCache:
             self.ids[self.used : self.used + len(ids)] = ids
             self.start[base:size], self.count[base:size] = self.used + offsets(count)[:-1], count
             self.used += len(ids)
+            self.bytes += 200 * len(fresh) + sum(map(len, fresh)) + 4 * len(ids)
             self.place.update(zip(fresh, range(base, size), strict=True))
             if len(self.place) != size:
                 raise ValueError("strings must be distinct")
