@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardsift.llm.common import held_out, staged
 
-#: Labelled rows a classifier is fitted on at most, by label.
+#: Labelled rows a classifier is fitted on at most, by label, and characters of them: rows are taken, however long, in
+#: the order of their hash until either is reached.  A single text of more characters cannot be held and is passed over.
 MAX_ROWS = 2500
-#: Longer texts are not taken to fit a classifier (every text is scored, however long).
-MAX_CHARS = 20_000
+MAX_CHARS = 20_000_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[DataFrame, float]:
@@ -26,18 +26,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = staged(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "known")
-    # twice the bound, as some texts are too long
     order = F.xxhash64("doc_id")
-    chosen = [known.where(F.col("label") == value).orderBy(order).limit(2 * max_rows) for value in (0, 1)]
-    chosen = staged(chosen[0].unionByName(chosen[1]), "sample")  # at most 4 * max_rows ids
+    chosen = [known.where(F.col("label") == value).orderBy(order).limit(max_rows) for value in (0, 1)]
+    chosen = staged(chosen[0].unionByName(chosen[1]), "sample")  # at most 2 * max_rows ids
     found = texts.join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
     found = found.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
-    found = staged(found, "sampled")
-    halves = [found.where(F.col("label") == value).orderBy(order).limit(max_rows) for value in (0, 1)]
+    upto = F.sum(F.length("text")).over(Window.partitionBy("label").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    found = staged(found.withColumn("upto", upto).where(F.col("upto") <= max_chars).drop("upto"), "sampled")
     counts = [{r["label"]: r["count"] for r in rows.groupBy("label").count().collect()} for rows in (known, found)]
-    sampled = {value: min(n, max_rows) for value, n in counts[1].items()}
-    shift = _log_odds(counts[0]) - _log_odds(sampled) if len(sampled) == 2 else 0.0
-    return halves[0].unionByName(halves[1]), shift
+    shift = _log_odds(counts[0]) - _log_odds(counts[1]) if len(counts[1]) == 2 else 0.0
+    return found, shift
 
 
 def _log_odds(count: dict[int, int]) -> float:

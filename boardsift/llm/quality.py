@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import arrow_batches, held_out, text_slices
+from boardsift.llm.common import arrow_batches, frugal, held_out, rows_where, text_slices
 from boardsift.llm.labelled import MAX_ROWS, labelled_sample
 from boardsift.llm.ragged import offsets
 from boardsift.llm.text import Words, bare, hashes, split_words
@@ -127,7 +127,7 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
 
 def _pool(vectors):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=4 << 20):
+        for batch in text_slices(batches, limit=2 << 20):
             found = pooled(batch.column("text"), vectors.value)
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x.tobytes() for x in found], pa.binary())], names=["label", "x"])
 
@@ -183,12 +183,11 @@ class Network:
 
 def _score(vectors, network: Network, shift: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=8 << 20):
+        for batch in text_slices(batches, limit=2 << 20):
             score = network.probability(pooled(batch.column("text"), vectors.value), shift)
-            other = [x for x in batch.schema.names if x != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in other), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*other, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return work
+    return frugal(work)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
@@ -215,10 +214,11 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects; all columns stay."""
+    """``docs`` without the documents that the classifier rejects; all columns stay, whatever their names.
+
+    Null and empty texts are scored as texts without words, repeated rows fare alike, and an empty table gives an
+    empty one.  Without labels of both kinds nothing is known about bad texts, and every document stays."""
     vectors, network, shift = fit(docs, labels)
-    names = docs.columns
-    renamed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"))
-    types = renamed.select("doc").schema[0].dataType.simpleString()
-    scored = arrow_batches(renamed).mapInArrow(_score(vectors, network, shift), f"doc {types}, score double, predicted int")
-    return scored.where("predicted = 1").select("doc.*")
+    if not network.trained:
+        return docs
+    return arrow_batches(docs).mapInArrow(rows_where(lambda column: network.probability(pooled(column, vectors.value), shift) >= THRESHOLD), docs.schema)

@@ -1,10 +1,12 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as the embedding of its hash bucket and the mean embedding of its four-byte grams, so an unseen form of
-a known word is still near it.  A text is read in windows of ``WINDOW`` words, each starting ``STRIDE`` after the one
-before; every window is scored and the text's score is that of its worst window.  Training sees document labels only:
-it starts from windows that hold the words and grams typical of toxic texts, and later picks the windows that the
-network itself scores highest.
+A word enters as the embedding of its hash bucket and the mean embedding of its grams of four and six bytes, so an unseen
+form of a known word is still near it, and with how much more often the word and its grams occur in toxic texts.  These
+log odds come from the labelled texts as well; for a text that is trained on they are taken from the other folds of the
+sample, so the network learns how far to trust them.  A text is read in windows of ``WINDOW`` words, each starting
+``STRIDE`` after the one before; every window is scored and the text's score is that of its worst window.  Training
+sees document labels only: it starts from windows that hold the words and grams typical of toxic texts, and later picks
+the windows that the network itself scores highest.
 """
 
 from __future__ import annotations
@@ -17,20 +19,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import arrow_batches, held_out, text_slices
+from boardsift.llm.common import arrow_batches, frugal, held_out, rows_where, text_slices
 from boardsift.llm.labelled import MAX_ROWS, labelled_sample
 from boardsift.llm.text import Words, bare_words
 
-WINDOW, STRIDE = 32, 16
-WORDS, GRAMS = 1 << 14, 1 << 13
+WINDOW, STRIDE = 64, 32
+WORDS, GRAMS = 1 << 14, 1 << 15
+#: Bytes of the grams.
+SIZES = (4, 6)
 #: Sizes of the embeddings, of the hidden state in each direction and of the attention.
 EMBED, HIDDEN, ATTEND = 6, 8, 8
+#: Inputs of a word: both embeddings, the log odds of the word, and the mean and largest of its grams'.
+INPUT = 2 * EMBED + 3
+#: Parts of the sample whose log odds come from the others, and share of a batch's word embeddings that are left out.
+FOLDS, DROPPED = 5, 0.5
 #: A document is toxic from this score on.
 THRESHOLD = 0.5
 #: Steps of each training round at least.
 MIN_STEPS = 60
 #: Windows scored at once.
-CHUNK = 4096
+CHUNK = 2048
 
 
 class Lexicon(NamedTuple):
@@ -43,16 +51,26 @@ class Lexicon(NamedTuple):
 
 def lexicon(vocab: list[str], hashed: np.ndarray) -> Lexicon:
     """Grams run over the bytes of a word between two marks; a word too short for one has a gram of its own bytes."""
-    shown = [b"\x02" + x.encode() + b"\x03" + b"\0" * max(0, 2 - len(x)) for x in vocab]
+    shown = [b"\x02" + x.encode() + b"\x03" for x in vocab]
     size = np.fromiter(map(len, shown), np.int64, len(shown))
-    flat = np.frombuffer(b"".join(shown) + b"\0\0\0", np.uint8).astype(np.uint32)
-    code = flat[:-3] | flat[1:-2] << 8 | flat[2:-1] << 16 | flat[3:] << 24
-    bucket = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)).astype(np.int64)
-    count = np.maximum(size - 3, 1)
+    begin = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(shown) + bytes(max(SIZES)), np.uint8)
+    # where each gram starts, for each size in turn, word by word
+    each = np.stack([np.maximum(size - n + 1, 1) for n in SIZES], 1)
+    count = each.sum(1)
     edge = np.concatenate([[0], np.cumsum(count)])
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    index = np.repeat(begin - edge[:-1], count) + np.arange(edge[-1])
-    return Lexicon((hashed % np.uint64(WORDS)).astype(np.int64), bucket[index], edge)
+    run = each.ravel()
+    first = np.cumsum(run) - run
+    place = np.repeat(np.repeat(begin, len(SIZES)) - first, run) + np.arange(edge[-1])
+    width = np.repeat(np.tile(np.array(SIZES), len(size)), run)
+    end = np.repeat(np.repeat(begin + size, len(SIZES)), run)
+    code = np.zeros(len(place), np.uint64)
+    for i in range(max(SIZES)):
+        inside = (i < width) & (place + i < end)
+        code = (code << np.uint64(8)) | np.where(inside, flat[np.minimum(place + i, len(flat) - 1)], 0).astype(np.uint64)
+    code += width.astype(np.uint64) << np.uint64(56)
+    bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAMS.bit_length() + 1)).astype(np.int64)
+    return Lexicon((hashed % np.uint64(WORDS)).astype(np.int64), bucket, edge)
 
 
 def windows(offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,22 +92,29 @@ class Network:
     def __init__(self, seed: int = 11):
         random = np.random.default_rng(seed)
         normal = lambda *shape: (random.normal(0, shape[0] ** -0.5, shape)).astype(np.float32)
-        self.p = {"word": np.zeros((WORDS, EMBED), np.float32), "gram": np.zeros((GRAMS, EMBED), np.float32)}
-        self.p["word"] += random.normal(0, 0.1, (WORDS, EMBED))
-        self.p["gram"] += random.normal(0, 0.1, (GRAMS, EMBED))
+        self.p = {name: random.normal(0, 0.1, (size, EMBED)).astype(np.float32) for name, size in (("word", WORDS), ("gram", GRAMS))}
+        self.odds = np.zeros(WORDS, np.float32), np.zeros(GRAMS, np.float32)
         for side in "fb":
-            self.p |= {f"W{side}": normal(2 * EMBED, 3 * HIDDEN), f"U{side}": normal(HIDDEN, 3 * HIDDEN), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
+            self.p |= {f"W{side}": normal(INPUT, 3 * HIDDEN), f"U{side}": normal(HIDDEN, 3 * HIDDEN), f"c{side}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"A": normal(2 * HIDDEN, ATTEND), "a0": np.zeros(ATTEND, np.float32), "av": normal(ATTEND), "w": normal(2 * HIDDEN), "b": np.zeros(1, np.float32)}
         self.prior: float | None = None
         #: What is added to the logit of a text: the labels are not sampled at their shares.
         self.shift = 0.0
 
-    def features(self, lex: Lexicon) -> np.ndarray:
-        """Inputs of every distinct word, and of the blank after them."""
-        out = np.zeros((len(lex.word) + 1, 2 * EMBED), np.float32)
+    def features(self, lex: Lexicon, odds: tuple[np.ndarray, np.ndarray] | None = None, kept: np.ndarray | None = None) -> np.ndarray:
+        """Inputs of every distinct word, and of the blank after them; ``kept`` scales words' embeddings."""
+        of_word, of_gram = odds or self.odds
+        out = np.zeros((len(lex.word) + 1, INPUT), np.float32)
         if len(lex.word):
+            size = np.diff(lex.edge)[:, None]
             out[:-1, :EMBED] = self.p["word"][lex.word]
-            out[:-1, EMBED:] = np.add.reduceat(self.p["gram"][lex.gram], lex.edge[:-1], axis=0) / np.diff(lex.edge)[:, None]
+            if kept is not None:
+                out[:-1, :EMBED] *= kept[:, None]
+            out[:-1, EMBED : 2 * EMBED] = np.add.reduceat(self.p["gram"][lex.gram], lex.edge[:-1], axis=0) / size
+            grams = of_gram[lex.gram]
+            out[:-1, 2 * EMBED] = of_word[lex.word]
+            out[:-1, 2 * EMBED + 1] = np.add.reduceat(grams, lex.edge[:-1]) / size[:, 0]
+            out[:-1, 2 * EMBED + 2] = np.maximum.reduceat(grams, lex.edge[:-1])
         return out
 
     def _run(self, side: str, gates: np.ndarray, index: np.ndarray, keep: list | None) -> np.ndarray:
@@ -129,9 +154,9 @@ class Network:
             keep |= {"h": h, "s": s, "weight": weight, "c": c}
         return c @ self.p["w"] + self.p["b"]
 
-    def gradients(self, lex: Lexicon, index: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, lex: Lexicon, index: np.ndarray, target: np.ndarray, odds: tuple[np.ndarray, np.ndarray] | None = None, kept: np.ndarray | None = None) -> dict[str, np.ndarray]:
         keep: dict = {}
-        feature, p, n = self.features(lex), self.p, HIDDEN
+        feature, p, n = self.features(lex, odds, kept), self.p, HIDDEN
         logit = self.forward(feature, index, keep)
         d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - target)[:, None].astype(np.float32) / len(target)
         h, s, weight = keep["h"], keep["s"], keep["weight"]
@@ -144,7 +169,7 @@ class Network:
         ds = de[:, :, None] * p["av"] * (1 - s * s)
         grad["A"], grad["a0"] = np.einsum("btk,bta->ka", h, ds), ds.sum((0, 1))
         dh += ds @ p["A"].T
-        dx = np.zeros((*index.shape, 2 * EMBED), np.float32)
+        dx = np.zeros((*index.shape, INPUT), np.float32)
         x = feature[index]
         for side, own in (("f", dh[:, :, :n]), ("b", dh[:, :, n:])):
             U, W = p[f"U{side}"], p[f"W{side}"]
@@ -162,12 +187,14 @@ class Network:
                 dx[:, t] += dgate @ W.T
             grad |= {f"U{side}": dU, f"W{side}": dW, f"c{side}": dc0}
         by_word = np.zeros_like(feature)
-        np.add.at(by_word, index.ravel(), dx.reshape(-1, 2 * EMBED))
+        np.add.at(by_word, index.ravel(), dx.reshape(-1, INPUT))
         by_word = by_word[:-1]
+        if kept is not None:
+            by_word[:, :EMBED] *= kept[:, None]
         grad["word"], grad["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
         np.add.at(grad["word"], lex.word, by_word[:, :EMBED])
         size = np.diff(lex.edge)
-        np.add.at(grad["gram"], lex.gram, np.repeat(by_word[:, EMBED:] / size[:, None], size, axis=0))
+        np.add.at(grad["gram"], lex.gram, np.repeat(by_word[:, EMBED : 2 * EMBED] / size[:, None], size, axis=0))
         return grad
 
     def logits(self, feature: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -195,11 +222,11 @@ def _plain(vocab: list[str]) -> list[str]:
     return [x.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in vocab]
 
 
-def _log_odds(words: Words, lex: Lexicon, label: np.ndarray, grams: bool) -> np.ndarray:
-    """How much more often a bucket of words or grams occurs in toxic documents, as a smoothed log ratio of document
-    shares; counted over a few documents at once."""
+def _occurrences(words: Words, lex: Lexicon, label: np.ndarray, fold: np.ndarray, grams: bool) -> np.ndarray:
+    """(folds, 2, buckets): in how many documents of each fold and label a bucket of words or grams occurs; counted
+    over a few documents at once."""
     size = GRAMS if grams else WORDS
-    counts = np.zeros((2, size))
+    counts = np.zeros((FOLDS, 2, size))
     for low in range(0, len(label), 200):
         edge = words.offset[low : low + 201]
         seen = np.unique(np.repeat(np.arange(len(edge) - 1), np.diff(edge)) * len(lex.word) + words.code[edge[0] : edge[-1]])
@@ -211,13 +238,17 @@ def _log_odds(words: Words, lex: Lexicon, label: np.ndarray, grams: bool) -> np.
         else:
             ids = lex.word[word]
         pair = np.unique(doc * size + ids)
-        toxic = label[low + pair // size] == 1
-        counts[1] += np.bincount((pair % size)[toxic], minlength=size)
-        counts[0] += np.bincount((pair % size)[~toxic], minlength=size)
-    n1, n0 = label.sum(), (label == 0).sum()
+        np.add.at(counts, (fold[low + pair // size], label[low + pair // size], pair % size), 1)
+    return counts
+
+
+def _log_odds(counts: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """How much more often a bucket occurs in toxic documents, as a smoothed log ratio of document shares; 0 where it
+    is rare."""
+    n1, n0 = max(1, label.sum()), max(1, (label == 0).sum())
     b, a = counts
-    # 0 where a bucket is rare
-    return (np.log((a + 2.0) / (n1 + 4.0)) - np.log((b + 2.0 * n0 / n1) / (n0 + 4.0 * n0 / n1))) * (a + b * n1 / n0 >= 3)
+    odds = (np.log((a + 2.0) / (n1 + 4.0)) - np.log((b + 2.0 * n0 / n1) / (n0 + 4.0 * n0 / n1))) * (a + b * n1 / n0 >= 3)
+    return np.clip(odds, -3, 3).astype(np.float32)
 
 
 def train(texts: list[str], label: np.ndarray, rounds: int = 3, epochs: int = 4, seed: int = 5) -> Network:
@@ -228,13 +259,25 @@ def train(texts: list[str], label: np.ndarray, rounds: int = 3, epochs: int = 4,
     random = np.random.default_rng(seed)
     words, hashed = bare_words(pa.array(texts, pa.string()))
     lex = lexicon(_plain(words.vocab.to_pylist()), hashed)
-    network.p["word"][:, 0] = np.clip(_log_odds(words, lex, label, False), -3, 3)
-    network.p["gram"][:, 0] = np.clip(_log_odds(words, lex, label, True), -3, 3)
+    fold = random.permutation(len(label)) % FOLDS
+    counts = [_occurrences(words, lex, label, fold, grams) for grams in (False, True)]
+    network.odds = tuple(_log_odds(c.sum(0), label) for c in counts)
+    others = [tuple(_log_odds(c.sum(0) - c[k], label[fold != k]) for c in counts) for k in range(FOLDS)]
     start, owner = windows(words.offset)
     index = window_words(words.code.astype(np.int32), words.offset, start, owner, len(lex.word)).astype(np.int32)
-    strength = network.features(lex)[:, [0, EMBED]].max(1)
-    strength[-1] = -9
-    value = np.concatenate([strength[part].max(1) for part in np.array_split(index, len(index) // 20_000 + 1)])
+
+    def by_fold(score) -> np.ndarray:
+        out = np.empty(len(index), np.float32)
+        for k in range(FOLDS):
+            at = np.flatnonzero(fold[owner] == k)
+            out[at] = score(network.features(lex, others[k]), index[at])
+        return out
+
+    def strongest(feature: np.ndarray, part: np.ndarray) -> np.ndarray:
+        strength = feature[:, [2 * EMBED, 2 * EMBED + 2]].sum(1)
+        return np.concatenate([strength[x].sum(1) for x in np.array_split(part, len(part) // 20_000 + 1)])
+
+    value = by_fold(strongest)
     names = list(network.p)
     first, second = ({k: np.zeros_like(network.p[k]) for k in names} for _ in range(2))
     step = 0
@@ -248,8 +291,11 @@ def train(texts: list[str], label: np.ndarray, rounds: int = 3, epochs: int = 4,
         passes = max(epochs, -(-MIN_STEPS // -(-len(picked) // 128)))
         for epoch in range(passes):
             rate = 8e-3 * (1 - (turn + epoch / passes) / rounds) + 5e-4
-            mixed = random.permutation(picked)
-            for batch in (mixed[i : i + 128] for i in range(0, len(mixed), 128)):
+            batches = []
+            for k in range(FOLDS):
+                mixed = random.permutation(picked[fold[owner[picked]] == k])
+                batches += [(k, mixed[i : i + 128]) for i in range(0, len(mixed), 128)]
+            for k, batch in (batches[i] for i in random.permutation(len(batches))):
                 used, inner = np.unique(index[batch], return_inverse=True)
                 inner = inner.reshape(-1, WINDOW)
                 if used[-1] != len(lex.word):
@@ -258,25 +304,25 @@ def train(texts: list[str], label: np.ndarray, rounds: int = 3, epochs: int = 4,
                 count = np.diff(lex.edge)[own]
                 edge = np.concatenate([[0], np.cumsum(count)])
                 part = Lexicon(lex.word[own], lex.gram[np.repeat(lex.edge[:-1][own] - edge[:-1], count) + np.arange(edge[-1])], edge)
-                grad = network.gradients(part, inner, label[owner[batch]])
+                kept = (random.random(len(own)) >= DROPPED).astype(np.float32) / (1 - DROPPED)
+                grad = network.gradients(part, inner, label[owner[batch]], others[k], kept)
                 step += 1
-                for k in names:
-                    first[k] += 0.1 * (grad[k] - first[k])
-                    second[k] += 0.01 * (grad[k] ** 2 - second[k])
-                    network.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                for name in names:
+                    first[name] += 0.1 * (grad[name] - first[name])
+                    second[name] += 0.01 * (grad[name] ** 2 - second[name])
+                    network.p[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         if turn + 1 < rounds:
-            value = network.logits(network.features(lex), index)
+            value = by_fold(network.logits)
     return network
 
 
 def _score(network):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=4 << 20):
+        for batch in text_slices(batches, limit=2 << 20):
             score = network.value.probability(batch.column("text")).astype(np.float64)
-            other = [x for x in batch.schema.names if x != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in other), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*other, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return work
+    return frugal(work)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:
@@ -303,9 +349,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the network rejects; all columns stay."""
-    network = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
-    types = packed.select("doc").schema[0].dataType.simpleString()
-    scored = arrow_batches(packed).mapInArrow(_score(network), f"doc {types}, score double, predicted int")
-    return scored.where("predicted = 0").select("doc.*")
+    """``docs`` without the documents that the network rejects; all columns stay, whatever their names.
+
+    Null, empty and wordless texts stay, repeated rows fare alike, and an empty table gives an empty one.  Without
+    labels of both kinds nothing is known about toxic texts, and every document stays."""
+    network = fit(docs, labels)
+    if network.prior is not None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+    return arrow_batches(docs).mapInArrow(rows_where(lambda column: shared.value.probability(column) < THRESHOLD), docs.schema)
