@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from boardsift.llm.common import arrow_batches, text_slices
+from boardsift.llm.common import arrow_batches, frugal, text_slices
 from boardsift.llm.ragged import PieceCache, gather, offsets
 
 #: Pre-tokens up to so many bytes go into matrices.
 LONG = 256
 #: Text bytes encoded at once in a task.
-SLICE = 8 << 20
+SLICE = 4 << 20
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -275,7 +275,7 @@ def _digests(path: str, pattern: str):
             text_sha = [hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return work
+    return frugal(work)
 
 
 def _encode(path: str, pattern: str):
@@ -317,6 +317,9 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_to
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Encode every text, decode the ids again, and keep digests of both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Encode every text, decode the ids again, and keep digests of both: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Texts are read whole, however long; null and empty ones have no ids and the digest of nothing.  Repeated rows give
+    repeated rows, doc_id may be null, other columns are ignored, and an empty table gives an empty result."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return _plain(docs).mapInArrow(_digests(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -73,7 +73,8 @@ def format_turns(conversations: DataFrame, path: str | None = None, pattern: str
     Returns one row per turn, sorted within its conversation: conv_id, place (from 0), start (tokens of the
     conversation before it), ids, loss_from and loss_to (the tokens of the conversation that the loss counts; equal
     if none).  Null roles and texts count as empty; rows are ordered by turn (null first), then role, then text, so
-    repeated rows are repeated turns; rows without conv_id form a conversation; other columns are ignored.
+    repeated rows are repeated turns; rows without conv_id form a conversation; texts are read whole, however long;
+    other columns are ignored, and an empty table gives an empty result.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     plain = arrow_batches(conversations).select(*(conversations[x].cast(t).alias(x) for x, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))))

@@ -57,8 +57,10 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """The k nearest codes of every query: vec_id, rank (from 1), neighbor_id, distance.
 
     ``codes`` and ``queries`` hold vec_id and code.  A query's own id is no neighbour of it; ties go to the smaller
-    id; a query with fewer than k others gets them all.  Repeated rows count once.
+    id; a query with fewer than k others gets them all.  Repeated rows count once, other columns are ignored, and
+    without codes or queries the result is empty.
     """
+    codes, queries = codes.select("vec_id", "code"), queries.select("vec_id", "code")
     order = Window.partitionBy("code").orderBy("vec_id")
     # of a code's ids the k + 1 smallest are enough, as one of them may be the query itself; the limit is taken before rows move
     index = codes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
@@ -76,7 +78,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     nearest = Window.partitionBy("query").orderBy("distance", "first_id")
     for radius in range(BITS + 1):
         probes = open_.mapInArrow(_probes(exists, radius), "query long, segment long, value long")
-        met = probes.join(buckets, ["segment", "value"])
+        # merged: how many buckets a query visits can't be told from the size of the queries, and either side may be large
+        met = probes.join(buckets.hint("merge"), ["segment", "value"])
         differ = F.col("code").bitwiseXOR(F.col("query"))
         met = met.withColumn("distance", F.bit_count(differ).cast("long"))
         # a code met by several segments counts where it was met first
