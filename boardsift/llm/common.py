@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside one Python task.
 SLICE_BYTES = 8 << 20
-#: Rows sent to a Python worker at once.
-BATCH_ROWS = 4000
+#: Text bytes after which a task gives back what it has freed.
+RELEASE_BYTES = 4 << 20
+#: Rows and bytes sent to a Python worker at once: executors keep buffers of this size for every task.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _own_scratch: list[str] = []
 
@@ -62,10 +64,10 @@ def drop_staged(df: DataFrame) -> None:
 
 
 def arrow_batches(df: DataFrame) -> DataFrame:
-    """Bound the rows of an Arrow batch before a Python operator."""
+    """Bound the Arrow batches before a Python operator."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
@@ -90,7 +92,9 @@ def release() -> None:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the text of each piece stays near ``limit`` bytes; a longer single text stays whole."""
+    """Cut batches so that the text of each piece stays near ``limit`` bytes; a longer single text stays whole.  What
+    a worker has freed goes back to the system now and then, as an executor's workers share its memory."""
+    done = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -100,6 +104,10 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             used = size[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(size, used + limit, side="right")))
             yield batch.slice(start, end - start)
+            done += int(size[end - 1]) - int(used)
+            if done > RELEASE_BYTES:
+                done = 0
+                release()
             start = end
 
 
@@ -107,7 +115,7 @@ def rows_where(keep: Callable[[pa.Array], np.ndarray]) -> Callable[[Iterator[pa.
     """The rows, with all their columns, whose texts (column ``text``) ``keep`` accepts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=1 << 20):
+        for batch in text_slices(batches, limit=2 << 20):
             yield batch.filter(pa.array(keep(batch.column("text").cast(pa.string())), pa.bool_()))
 
     return frugal(work)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of strings and ids that a worker keeps.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 32 << 20
 
 
 def offsets(length: np.ndarray) -> np.ndarray:

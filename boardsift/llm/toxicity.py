@@ -37,6 +37,8 @@ FOLDS, DROPPED = 5, 0.5
 THRESHOLD = 0.5
 #: Steps of each training round at least.
 MIN_STEPS = 60
+#: Distinct words whose grams are looked up at once.
+AT_ONCE = 20_000
 #: Windows scored at once.
 CHUNK = 2048
 
@@ -51,6 +53,14 @@ class Lexicon(NamedTuple):
 
 def lexicon(vocab: list[str], hashed: np.ndarray) -> Lexicon:
     """Grams run over the bytes of a word between two marks; a word too short for one has a gram of its own bytes."""
+    parts = [_grams(vocab[i : i + AT_ONCE]) for i in range(0, len(vocab), AT_ONCE)]
+    count = np.concatenate([n for _, n in parts]) if parts else np.empty(0, np.int64)
+    bucket = np.concatenate([b for b, _ in parts]) if parts else np.empty(0, np.int32)
+    return Lexicon((hashed % np.uint64(WORDS)).astype(np.int64), bucket, np.concatenate([[0], np.cumsum(count)]))
+
+
+def _grams(vocab: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the grams of all words one after another, and how many each word has."""
     shown = [b"\x02" + x.encode() + b"\x03" for x in vocab]
     size = np.fromiter(map(len, shown), np.int64, len(shown))
     begin = np.cumsum(size) - size
@@ -69,8 +79,7 @@ def lexicon(vocab: list[str], hashed: np.ndarray) -> Lexicon:
         inside = (i < width) & (place + i < end)
         code = (code << np.uint64(8)) | np.where(inside, flat[np.minimum(place + i, len(flat) - 1)], 0).astype(np.uint64)
     code += width.astype(np.uint64) << np.uint64(56)
-    bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAMS.bit_length() + 1)).astype(np.int64)
-    return Lexicon((hashed % np.uint64(WORDS)).astype(np.int64), bucket, edge)
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAMS.bit_length() + 1)).astype(np.int32), count
 
 
 def windows(offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +97,11 @@ def window_words(code: np.ndarray, offset: np.ndarray, start: np.ndarray, doc: n
     return np.where(at < offset[1:][doc][:, None], code[np.minimum(at, max(0, len(code) - 1))], blank)
 
 
+def _sums(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Rows added up by their index."""
+    return np.stack([np.bincount(index, rows[:, j], size) for j in range(rows.shape[1])], 1).astype(np.float32)
+
+
 class Network:
     def __init__(self, seed: int = 11):
         random = np.random.default_rng(seed)
@@ -105,16 +119,18 @@ class Network:
         """Inputs of every distinct word, and of the blank after them; ``kept`` scales words' embeddings."""
         of_word, of_gram = odds or self.odds
         out = np.zeros((len(lex.word) + 1, INPUT), np.float32)
-        if len(lex.word):
-            size = np.diff(lex.edge)[:, None]
-            out[:-1, :EMBED] = self.p["word"][lex.word]
-            if kept is not None:
-                out[:-1, :EMBED] *= kept[:, None]
-            out[:-1, EMBED : 2 * EMBED] = np.add.reduceat(self.p["gram"][lex.gram], lex.edge[:-1], axis=0) / size
-            grams = of_gram[lex.gram]
-            out[:-1, 2 * EMBED] = of_word[lex.word]
-            out[:-1, 2 * EMBED + 1] = np.add.reduceat(grams, lex.edge[:-1]) / size[:, 0]
-            out[:-1, 2 * EMBED + 2] = np.maximum.reduceat(grams, lex.edge[:-1])
+        out[:-1, :EMBED] = self.p["word"][lex.word]
+        if kept is not None:
+            out[:-1, :EMBED] *= kept[:, None]
+        out[:-1, 2 * EMBED] = of_word[lex.word]
+        for a in range(0, len(lex.word), AT_ONCE):
+            edge = lex.edge[a : a + AT_ONCE + 1]
+            rows, size = slice(a, a + len(edge) - 1), np.diff(edge)
+            gram, start = lex.gram[edge[0] : edge[-1]], edge[:-1] - edge[0]
+            odds_of = of_gram[gram]
+            out[rows, EMBED : 2 * EMBED] = np.add.reduceat(self.p["gram"][gram], start, axis=0) / size[:, None]
+            out[rows, 2 * EMBED + 1] = np.add.reduceat(odds_of, start) / size
+            out[rows, 2 * EMBED + 2] = np.maximum.reduceat(odds_of, start)
         return out
 
     def _run(self, side: str, gates: np.ndarray, index: np.ndarray, keep: list | None) -> np.ndarray:
@@ -186,15 +202,12 @@ class Network:
                 dc0 += dgate.sum(0)
                 dx[:, t] += dgate @ W.T
             grad |= {f"U{side}": dU, f"W{side}": dW, f"c{side}": dc0}
-        by_word = np.zeros_like(feature)
-        np.add.at(by_word, index.ravel(), dx.reshape(-1, INPUT))
-        by_word = by_word[:-1]
+        by_word = _sums(index.ravel(), dx.reshape(-1, INPUT), len(feature))[:-1]
         if kept is not None:
             by_word[:, :EMBED] *= kept[:, None]
-        grad["word"], grad["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-        np.add.at(grad["word"], lex.word, by_word[:, :EMBED])
+        grad["word"] = _sums(lex.word, by_word[:, :EMBED], WORDS)
         size = np.diff(lex.edge)
-        np.add.at(grad["gram"], lex.gram, np.repeat(by_word[:, EMBED : 2 * EMBED] / size[:, None], size, axis=0))
+        grad["gram"] = _sums(lex.gram, np.repeat(by_word[:, EMBED : 2 * EMBED] / size[:, None], size, axis=0), GRAMS)
         return grad
 
     def logits(self, feature: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -251,13 +264,13 @@ def _log_odds(counts: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.clip(odds, -3, 3).astype(np.float32)
 
 
-def train(texts: list[str], label: np.ndarray, rounds: int = 3, epochs: int = 4, seed: int = 5) -> Network:
+def train(texts: list[str] | pa.Array, label: np.ndarray, rounds: int = 3, epochs: int = 4, seed: int = 5) -> Network:
     network = Network()
     if not 0 < label.sum() < len(label):
         network.prior = float((label.sum() + 1) / (len(label) + 2)) if len(label) else 0.0
         return network
     random = np.random.default_rng(seed)
-    words, hashed = bare_words(pa.array(texts, pa.string()))
+    words, hashed = bare_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     lex = lexicon(_plain(words.vocab.to_pylist()), hashed)
     fold = random.permutation(len(label)) % FOLDS
     counts = [_occurrences(words, lex, label, fold, grams) for grams in (False, True)]
@@ -328,9 +341,8 @@ def _score(network):
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:
     """A network from a bounded sample of labelled documents."""
     sample, shift = labelled_sample(docs, labels, "toxic", max_rows)
-    rows = sample.select("doc_id", "text", "label").collect()  # bounded by the sample
-    rows.sort(key=lambda r: r["doc_id"])
-    network = train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
+    rows = sample.select("doc_id", "text", "label").toArrow().sort_by("doc_id")  # bounded by the sample
+    network = train(rows.column("text").combine_chunks(), rows.column("label").to_numpy().astype(np.int64))
     network.shift = shift
     return network
 
