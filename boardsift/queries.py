@@ -675,7 +675,7 @@ _KINDS = _by_kind(20, 20, "'OK' AS verdict", "'NG'")
 for _name, _batch in (("reverse_dfs", 8), ("reverse_dfs_ordered", 1), ("reverse_dfs_parallel", 64)):
 
     def _dived(spark, sf, batch=_batch):
-        return search.reverse_dfs(_spoiled(_played(spark, 8)), 8, batch=batch).select("board_id", "verdict")
+        return search.reverse_dfs(_spoiled(_played(spark, 7)), 7, batch=batch).select("board_id", "verdict")
 
     register(_name, _KINDS)(_dived)
 
@@ -683,7 +683,7 @@ for _name, _batch in (("reverse_dfs", 8), ("reverse_dfs_ordered", 1), ("reverse_
 for _name, _dive in (("reverse_bfs", search.FIRST_DIVE), ("reverse_bfs_blocked", 0), ("reverse_bfs_parallel", 0)):
 
     def _reverse(spark, sf, dive=_dive):
-        return search.reverse_bfs(_spoiled(_played(spark, 8 if dive else 7)), 8 if dive else 7, first_dive=dive).select("board_id", "verdict")
+        return search.reverse_bfs(_spoiled(_played(spark, 7)), 7, first_dive=dive).select("board_id", "verdict")
 
     register(_name, _KINDS)(_reverse)
 
