@@ -198,13 +198,14 @@ def show(player: Column, opponent: Column) -> Column:
 
 
 def occupied_text(x: Column) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.call_function("getbit", x, i) == 1, "G").otherwise("-")), "")
+    """64 characters of G and -, from the set as a binary number."""
+    return F.translate(F.reverse(F.lpad(F.bin(F.coalesce(x, mask(0))), 64, "0")), "01", "-G")
 
 
 def from_text(text: Column, discs: str) -> Column:
-    """Set of the squares that show one of the characters of ``discs``."""
-    bit = lambda c, i: F.when(c.isin(*discs), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.transform(F.split(text, "", 64), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    """Set of the squares that show one of the characters of ``discs``, read as a binary number."""
+    digits = F.translate(F.regexp_replace(F.substring(text, 1, 64), f"[^{discs}]", "0"), discs, "1" * len(discs))
+    return F.conv(F.lpad(F.reverse(digits), 64, "0"), 2, -10).cast("long")
 
 
 def spread(x: Column) -> Column:
@@ -212,6 +213,15 @@ def spread(x: Column) -> Column:
     return union([x, *(step(d, x) for d in NAMES)])
 
 
+def _fixpoint(grown: Callable[[Column], Column]) -> Column:
+    """The centre, grown until nothing is added: 60 squares at most, so 60 times at most.  Most sets are whole after a
+    few times; only the others go on.  What ``grown`` names is computed anew each time, so it should be a ``let``."""
+    def grow(m: Column, times: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(times)), m, lambda m, _: grown(m))
+
+    return let(grow(mask(CENTRE), 8), lambda m: F.when(grown(m) == m, m).otherwise(grow(m, 52)))
+
+
 def connected(occupied: Column) -> Column:
     """Occupied squares that hang together with the centre, by the eight neighbours."""
     return F.aggregate(F.sequence(F.lit(1), F.lit(60)), mask(CENTRE), lambda m, _: m.bitwiseOR(occupied.bitwiseAND(spread(m))))
@@ -219,11 +229,11 @@ def connected(occupied: Column) -> Column:
 
 def explained(occupied: Column) -> Column:
     """Least fixpoint from the centre: an occupied square is explained once the next two in some direction are."""
-    def grown(e: Column, _: Column) -> Column:
+    def grown(e: Column, o: Column) -> Column:
         new = [step_back(d, e.bitwiseAND(step_back(d, e))) for d in NAMES]
-        return e.bitwiseOR(occupied.bitwiseAND(union(new)))
+        return e.bitwiseOR(o.bitwiseAND(union(new)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), mask(CENTRE), grown)
+    return let(occupied, lambda o: _fixpoint(lambda e: grown(e, o)))
 
 
 def features(player: Column, opponent: Column) -> Column:

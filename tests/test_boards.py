@@ -1,6 +1,7 @@
 """Board operators against laws, goldens and plain Python."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -168,3 +169,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split("\n")[:2] == ["14: 4", "mean: 14.0"]
     cli.run(spark, ["fix_sat_file", out, "-s", out, "-o", str(tmp_path / "fixed")])
     assert spark.read.text(str(tmp_path / "fixed")).count() == 0
+
+
+def test_explained_squares_of_many_boards(spark):
+    """A lambda computes what it names anew for each element, so sets have to be computed before."""
+    boards = sources.boards_of_keys(spark.range(20_000), "id")
+    start = time.monotonic()
+    rows = boards.select("k", bits.occupied_text(bits.explained(filters.occupied())).alias("seen")).orderBy("k").collect()
+    assert time.monotonic() - start < 20
+    masks = np.array([r[:] for r in boards.orderBy("k").select("player", "opponent").collect()], np.int64).view(np.uint64)
+    want = kernels.explained(masks[:, 0] | masks[:, 1]).tolist()
+    assert [r["seen"] for r in rows] == ["".join("G" if x >> i & 1 else "-" for i in range(64)) for x in want]
+
+
+def test_text_of_any_length_to_masks_and_back(spark):
+    lines = ["X" * 64, "-" * 64, "O" + "-" * 62 + "X", "", "XO", "01x\u00e9O" + "X" * 59, None]
+    rows = spark.createDataFrame([(x,) for x in lines], "t string").select(bits.from_text(F.col("t"), "X").alias("x"), bits.from_text(F.col("t"), "OX").alias("b")).collect()
+    bit = lambda t, of: t if t is None else bits.signed(sum(1 << i for i, c in enumerate(t) if c in of))
+    assert [tuple(r) for r in rows] == [(bit(t, "X"), bit(t, "OX")) for t in lines]
+    shown = spark.createDataFrame([(-1,), (1,), (-(1 << 63),), (0,), (None,)], "m long").select(bits.occupied_text(F.col("m"))).collect()
+    assert [r[0] for r in shown] == ["G" * 64, "G" + "-" * 63, "-" * 63 + "G", "-" * 64, "-" * 64]
