@@ -16,7 +16,9 @@ from boardsift.functions import bits, kernels
 
 def write_split(df: DataFrame, keep: Column, path: str, text: str = "board") -> None:
     """Lines of boards by verdict, in the folders verdict=OK and verdict=NG; a null predicate is written to neither."""
-    df.withColumn("verdict", F.when(keep, "OK").when(~keep, "NG")).where("verdict IS NOT NULL").select(text, "verdict").write.mode("overwrite").partitionBy("verdict").text(path)
+    # exploded, as the optimizer would compute a condition on the verdict anew beside it; no array, no row
+    verdict = bits.let(keep, lambda k: F.when(k, F.array(F.lit("OK"))).when(~k, F.array(F.lit("NG"))))
+    df.select(text, F.explode(verdict).alias("verdict")).write.mode("overwrite").partitionBy("verdict").text(path)
 
 
 def write_explained(df: DataFrame, path: str) -> None:
