@@ -224,7 +224,7 @@ def _fixpoint(grown: Callable[[Column], Column]) -> Column:
 
 def connected(occupied: Column) -> Column:
     """Occupied squares that hang together with the centre, by the eight neighbours."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), mask(CENTRE), lambda m, _: m.bitwiseOR(occupied.bitwiseAND(spread(m))))
+    return let(occupied, lambda o: _fixpoint(lambda m: m.bitwiseOR(o.bitwiseAND(spread(m)))))
 
 
 def explained(occupied: Column) -> Column:
