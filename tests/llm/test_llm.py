@@ -8,6 +8,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -546,3 +547,40 @@ def test_row_numbers_survive_another_cut_of_the_files(spark, tmp_path, monkeypat
     assert near == {i: i % 12 for i in range(48)} and near_kept == list(range(12))
     assert exact_kept == list(range(24))
     assert revisits == {i: None if i >= 36 else 36 + i % 12 for i in range(48)}
+
+
+def _cased_words(n, letters="abcdefghijklmnoprstuvwxyzéüñ"):
+    r = np.random.default_rng(5)
+    stems = ["".join(r.choice(list(letters), r.integers(3, 10))) for _ in range(2000)]
+    marks = ["", "", ",", ".", ";", "!?", "'s", "-", ")", "...", "’", "1", " x"]
+    change = [str, str.upper, str.title]
+    return [change[r.integers(3)](stems[r.integers(2000)]) + marks[r.integers(len(marks))] for _ in range(n)]
+
+
+def test_packing_ids_of_marked_words_are_the_librarys():
+    tokenizer = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    words = _cased_words(4000)
+    odd = ["", None, " \n\t ", "\x1cA\x1dB", "été ́x", "İI ıſ ΑΣ ς", "<|endoftext|> <| x", "\x00 a\x00b", "don't we'LL", "ﬁn 東京abc ไทย١٢", "a" * 5000, "　a b\u0085c", "X﻿Y ​", "Ǆ ǅ ß ẞ ꞵ"]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 4000, 100)] + odd
+    want = [tokenizer.whole.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for kept in (12 << 20, 2000):  # also with a cache that is emptied in every batch
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(packing, "CACHE_BYTES", kept, raising=False)
+            for batch in (range(len(texts)), range(0, len(texts), 2), range(40, len(texts)), range(40, 43)):
+                ids, count = tokenizer.encode_column(pa.array([texts[i] for i in batch], pa.string()))
+                assert ids.tolist() == [x for i in batch for x in want[i]] and count.tolist() == [len(want[i]) for i in batch]
+
+
+def test_packing_cuts_words_all_at_once():
+    """Distinct words with marks and capitals, each of which went through Python, take less than the library's time."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = " ".join(sorted(set(" ".join(_cased_words(60_000, "abcdefghilmnoprstu")).split())))
+
+    def spent(tokenizer, encode):
+        start = time.process_time()
+        encode(tokenizer)
+        return time.process_time() - start
+
+    library = min(spent(Tokenizer.from_file(path), lambda t: t.encode(text, add_special_tokens=False)) for _ in range(3))
+    ours = min(spent(packing.WordTokenizer(path), lambda t: t.encode_column(pa.array([text]))) for _ in range(3))
+    assert ours < 0.7 * library
