@@ -9,10 +9,10 @@ candidate pair counts once its exact weighted Jaccard similarity is at least 0.8
 Texts of equal words are one node.  A band's bucket is led by the node that shares most buckets with most others, which
 is the source of a group of copies where the group has one.  Every node goes home to the leader it shares most buckets
 with; homes are cut into blocks of bounded size, and in a block pairs are compared exactly until each pair is either
-compared or of one class.  Then the nodes of all buckets of a leader meet, where they still are of several classes: all
-nodes outside the largest class meet all others, again in blocks of bounded size, and pairs that share a bucket and
-agree on enough samples are compared exactly.  So a group of copies costs about its members, not their pairs, and no
-round follows.
+compared or of one class.  Then the nodes of all buckets of a leader meet, where they still are of several classes and
+were not all in one block at home: all nodes outside the largest class meet all others, again in blocks of bounded size,
+and pairs that share a bucket, agree on enough samples and were not together at home are compared exactly.  So a group
+of copies costs about its members, not their pairs, and no round follows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardsift.llm.common import arrow_batches, drop_staged, frugal, numbered, staged, text_slices, without_rows
@@ -175,13 +175,26 @@ def _sign(idf):
     return frugal(work)
 
 
+def _marked(batches: Iterator[pa.RecordBatch], bit_map) -> Iterator[pa.RecordBatch]:
+    """The rows whose slots are in a bit map."""
+    for batch in batches:
+        at = batch.column("slot").to_numpy()
+        yield batch.filter(pa.array(((bit_map.value[at >> 6] >> (at & 63)) & 1).astype(bool)))
+
+
+def _only_marked(bit_map):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _marked(batches, bit_map):
+            yield batch.select(["node", "shingles"])
+
+    return frugal(work)
+
+
 def _shingled(idf, bit_map):
     """node, size, shingles (their hashes, then their weights) of the texts in a bit map of row numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("slot").to_numpy()
-            batch = batch.filter(pa.array(((bit_map.value[at >> 6] >> (at & 63)) & 1).astype(bool)))
+        for batch in _marked(batches, bit_map):
             for part in text_slices([batch], limit=1 << 20):
                 key, weight, start, _ = shingles(part.column(_TEXT), idf.value)
                 edge = start.tolist()
@@ -272,9 +285,9 @@ def _meeting_links(similarity: float):
 _MEETING = "leader long, kind int, one int, two int, node long, label long, side int"
 
 
-def _in_doubt(samples: np.ndarray, label: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Which members of a block have a partner of another class that shares a band with them and agrees with them on
-    enough samples."""
+def _in_doubt(samples: np.ndarray, label: np.ndarray, side: np.ndarray, node: np.ndarray, home: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """Which members of a block have a partner of another class that shares a band with them, agrees with them on
+    enough samples and was not with them in a block (spot) at home, where the leader is in all blocks."""
     doubt = np.zeros(len(label), bool)
     crossing = side.min() != side.max()
     whole = np.asfortranarray(np.ascontiguousarray(samples).view(np.uint64).reshape(len(samples), BANDS))
@@ -285,6 +298,7 @@ def _in_doubt(samples: np.ndarray, label: np.ndarray, side: np.ndarray) -> np.nd
         for band in range(1, BANDS):
             shares |= whole[:, band] == whole[i, band]
         shares &= label != label[i]
+        shares &= ~(((home == home[i]) & (spot == spot[i])) | (home == node[i]) | (node == home[i]))
         if crossing:
             shares &= side != side[i]
         at = np.flatnonzero(shares)
@@ -297,7 +311,7 @@ def _in_doubt(samples: np.ndarray, label: np.ndarray, side: np.ndarray) -> np.nd
 
 def _doubtful(key, table):
     samples = table.column("bands").combine_chunks().flatten().to_numpy().view(np.uint16).reshape(table.num_rows, BANDS * ROWS)
-    keep = _in_doubt(samples, table.column("label").to_numpy(), table.column("side").to_numpy())
+    keep = _in_doubt(samples, *(table.column(x).to_numpy() for x in ("label", "side", "node", "home", "spot")))
     return table.select([x.split()[0] for x in _MEETING.split(", ")]).filter(pa.array(keep))
 
 
@@ -331,21 +345,33 @@ def _bit_map(wanted: DataFrame, slot, bits: int) -> np.ndarray:
     return table
 
 
+def _marks(wanted: DataFrame):
+    """A broadcast bit map of the wanted nodes, its bits, and how many are wanted."""
+    asked = wanted.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << int(BITS_EACH * asked).bit_length()))
+    return wanted.sparkSession.sparkContext.broadcast(_bit_map(wanted, F.pmod(F.xxhash64("node"), F.lit(bits)), bits)), bits, asked
+
+
 def _vectors(source: DataFrame, idf, wanted: DataFrame) -> DataFrame:
     """node, size and shingles of the wanted rows (node), and perhaps of a few others.  Rows are thinned out by a bit
     map, so that texts nobody asks for are neither cut into shingles nor moved.  Where more are wanted than the largest
     map can tell apart, a join drops the others."""
-    asked = wanted.count()
-    bits = min(MOST_BITS, max(1 << 16, 1 << int(BITS_EACH * asked).bit_length()))
-    bit_map = source.sparkSession.sparkContext.broadcast(_bit_map(wanted, F.pmod(F.xxhash64("node"), F.lit(bits)), bits))
+    bit_map, bits, asked = _marks(wanted)
     slotted = arrow_batches(source).select("row", _TEXT, F.pmod(F.xxhash64("row"), F.lit(bits)).alias("slot"))
     found = slotted.mapInArrow(_shingled(idf, bit_map), "node long, size long, shingles binary")
     return staged(found if BITS_EACH * asked <= MOST_BITS else found.join(wanted, "node", "left_semi"), "vectors")
 
 
+def _thinned(vectors: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and shingles of the wanted nodes, and perhaps of a few others: what a join with them needs to move."""
+    bit_map, bits, _ = _marks(wanted)
+    slotted = arrow_batches(vectors).select("node", "shingles", F.pmod(F.xxhash64("node"), F.lit(bits)).alias("slot"))
+    return slotted.mapInArrow(_only_marked(bit_map), "node long, shingles binary")
+
+
 def _meetings(mixed: DataFrame) -> DataFrame:
-    """Rows (leader, node, label, size) of leaders of several classes, dealt to blocks: all nodes outside a leader's
-    largest class meet those of that class (kind 0) and each other (kind 1)."""
+    """Rows (leader, node, label, home, spot, size) of leaders of several classes, dealt to blocks: all nodes outside a
+    leader's largest class meet those of that class (kind 0) and each other (kind 1)."""
     by_class = mixed.groupBy("leader", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     largest = by_class.groupBy("leader").agg(F.max(F.struct("n", F.col("label").alias("main"), F.col("size").alias("inside"))).alias("top"), F.sum("size").alias("size"), F.count("*").alias("classes"))
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / BLOCK_BYTES)).cast("int")
@@ -359,7 +385,8 @@ def _meetings(mixed: DataFrame) -> DataFrame:
     asks = F.transform(F.sequence(zero, F.col("inside") - 1), lambda i: place(0, i, block, 1))
     as_left = F.transform(F.sequence(block, F.col("outside") - 1), lambda j: place(1, block, j, 0))
     as_right = F.transform(F.filter(F.sequence(zero, block), lambda i: i < block), lambda i: place(1, i, block, 1))
-    return dealt.select("leader", "node", "label", F.explode(F.when(F.col("in_main"), meets).otherwise(F.concat(asks, as_left, as_right))).alias("p")).select("leader", "p.kind", "p.one", "p.two", "node", "label", "p.side")
+    own = ["node", "label", "home", "spot"]
+    return dealt.select("leader", *own, F.explode(F.when(F.col("in_main"), meets).otherwise(F.concat(asks, as_left, as_right))).alias("p")).select("leader", "p.kind", "p.one", "p.two", *own, "p.side")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -379,8 +406,8 @@ def _links(source: DataFrame, idf, nodes: DataFrame, similarity: float) -> DataF
     """Pairs of nodes (node, bands) that join all similar ones."""
     bucket = ["band", "value"]
     members = nodes.where("bands IS NOT NULL").select("node", F.posexplode("bands").alias("band", "value"))
-    shared = members.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    bands = staged(members.join(shared, bucket), "bands")
+    # counted in place, as the rows of a bucket have to meet anyway
+    bands = staged(members.withColumn("n", F.count("*").over(Window.partitionBy(*bucket))).where("n > 1"), "bands")
     rank = bands.groupBy("node").agg(F.sum("n").alias("degree"))
     leaders = bands.join(rank, "node").groupBy(*bucket).agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top")).select(*bucket, (-F.col("top.minus")).alias("leader"), F.col("top.degree").alias("degree"))
     shares = staged(bands.join(leaders, bucket).groupBy("node", "leader").agg(F.count("*").alias("shared"), F.first("degree").alias("degree")), "shares")
@@ -388,18 +415,23 @@ def _links(source: DataFrame, idf, nodes: DataFrame, similarity: float) -> DataF
     home = staged(home.select("node", (-F.col("top.minus")).alias("leader")), "home")
     vectors = _vectors(source, idf, bands.select("node").distinct())
     blocks = staged(home.join(vectors.select("node", "size"), "node").groupBy("leader").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("blocks")), "blocks")
-    led = home.join(blocks, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", F.lit(0).alias("leads"))
+    at = home.join(blocks, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
+    led = at.withColumn("leads", F.lit(0))
     leading = blocks.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("node"), F.lit(1).alias("leads"))
     at_home = led.unionByName(leading).join(vectors.select("node", "shingles"), "node")
     found = staged(at_home.groupBy("leader", "block").applyInArrow(_home_links(similarity), _LINKS), "links")
     labels = components(found)
     labelled = shares.select("leader", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = labelled.groupBy("leader").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("leader")
-    mixed = staged(labelled.join(several, "leader").join(vectors.select("node", "size"), "node"), "mixed")
+    # pairs that were in one block at home are settled, which are all pairs of a leader of one block without guests
+    placed = labelled.join(at.select("node", F.col("leader").alias("home"), F.col("block").alias("spot")), "node", "left").withColumns({"home": F.coalesce("home", "node"), "spot": F.coalesce("spot", F.lit(-1))})
+    follows = F.col("node") != F.col("leader")
+    settled = F.coalesce(F.min(F.when(follows, F.col("home") == F.col("leader"))) & (F.min(F.when(follows, F.col("spot"))) == F.max(F.when(follows, F.col("spot")))), F.lit(True))
+    several = placed.groupBy("leader").agg((F.min("label") != F.max("label")).alias("mixed"), settled.alias("settled")).where("mixed AND NOT settled").select("leader")
+    mixed = staged(placed.join(several, "leader").join(vectors.select("node", "size"), "node"), "mixed")
     meeting = _meetings(mixed).join(nodes.select("node", "bands"), "node")
     group = ["leader", "kind", "one", "two"]
     doubtful = staged(meeting.groupBy(*group).applyInArrow(_doubtful, _MEETING), "doubtful")
-    more = doubtful.join(vectors.select("node", "shingles"), "node").groupBy(*group).applyInArrow(_meeting_links(similarity), _LINKS)
+    more = doubtful.join(_thinned(vectors, doubtful.select("node").distinct()), "node").groupBy(*group).applyInArrow(_meeting_links(similarity), _LINKS)
     out = staged(found.unionByName(more), "links")
     for table in (bands, shares, home, vectors, blocks, found, mixed, doubtful, labels):
         drop_staged(table)

@@ -151,6 +151,64 @@ def test_large_near_group_in_blocks(spark, monkeypatch, changes):
         assert set(found.values()) == {0}
 
 
+def rows_written(monkeypatch):
+    """Rows of the tables that near_duplicates writes from here on, by name."""
+    found, write = {}, minhash.staged
+
+    def counted(df, tag):
+        out = write(df, tag)
+        found[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "staged", counted)
+    return found
+
+
+def changed(base, every, name):
+    return " ".join(f"{name}.{k}" if k % every == 3 else w for k, w in enumerate(base.split()))
+
+
+def test_pairs_of_one_home_do_not_meet_again(spark, monkeypatch):
+    """Texts that share buckets, but are too different, are compared once: their shingles are not moved again."""
+    rows = [(i, base) for i in range(0, 80, 2) for base in [words(150, i)]] + [(i + 1, changed(words(150, i), 37, f"w{i}")) for i in range(0, 80, 2)]
+    written = rows_written(monkeypatch)
+    found = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert found == brute_force_classes(rows)
+    assert written["home"] > 20 and len(set(found.values())) > 60
+    assert written["mixed"] == 0 and written["doubtful"] == 0
+
+
+def test_guests_of_a_leader_meet(spark, monkeypatch):
+    """Texts that drift apart word by word are similar to some at other homes, in classes that only meetings join."""
+    rows, r = [], random.Random(4)
+    for family in range(12):
+        own = words(200, 100 + family).split()
+        for i in range(25):
+            rows.append((family * 25 + i, " ".join(own)))
+            for k in range(r.choice([2, 3, 4, 5])):
+                own[r.randrange(200)] = f"w{family}.{i}.{k}"
+    written = rows_written(monkeypatch)
+    found = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert found == brute_force_classes(rows)
+    assert written["doubtful"] > 0 and 12 < len(set(found.values())) < 300
+
+
+def test_doubt_is_of_pairs_apart_at_home():
+    """Every pair of other classes that agrees stays in doubt, unless both were in one block or one led the other."""
+    r = np.random.default_rng(5)
+    for turn in range(40):
+        n = 14
+        node, label, side = r.permutation(50)[:n], r.integers(0, 9, n), r.integers(0, 2, n) if turn % 2 else np.zeros(n, int)
+        home, spot = np.where(r.random(n) < 0.8, r.choice(node, n), node), r.integers(0, 2, n)
+        samples = np.where(r.random((n, minhash.BANDS * minhash.ROWS)) < 0.15, r.integers(1, 9, (n, 1)), 0).astype(np.uint16)
+        together = lambda a, b: (home[a] == home[b] and spot[a] == spot[b]) or home[a] == node[b] or home[b] == node[a]
+        bands = samples.reshape(n, minhash.BANDS, minhash.ROWS)
+        agree = lambda a, b: (bands[a] == bands[b]).all(axis=1).any() and (samples[a] == samples[b]).mean() >= minhash.AGREE
+        crossing = len(set(side.tolist())) > 1
+        pairs = [(a, b) for a in range(n) for b in range(a) if label[a] != label[b] and (not crossing or side[a] != side[b]) and agree(a, b) and not together(a, b)]
+        assert set(np.flatnonzero(minhash._in_doubt(samples, label, side, node, home, spot)).tolist()) == {x for pair in pairs for x in pair}
+
+
 def test_links_of_a_block_against_all_pairs():
     """Every class that all pairs would join is joined, whatever sides and classes the members start with."""
     r = np.random.default_rng(2)
